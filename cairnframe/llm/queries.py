@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.functions.text import instant
-from cairnframe.llm import records, site_lines, survivors
+from cairnframe.llm import main_text, records, site_lines, survivors
 from cairnframe.session import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return main_text.furniture_lines(table(spark, root, "pages"))
+
+
 def p4_keys(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The stored keys, and the ledger after two batches: landed before and after the middle of the landing time."""
     keys = records.keep_keys(table(spark, root, "pages"))
@@ -45,5 +49,5 @@ def p7_blocks(spark: SparkSession, root: str) -> DataFrame:
     return site_lines.repeated_blocks(table(spark, root, "pages"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
 ORACLES: dict[str, str] = {}
