@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.functions.text import instant
-from cairnframe.llm import main_text, records, site_lines, survivors
+from cairnframe.llm import main_text, mojibake, records, site_lines, survivors
 from cairnframe.session import table
 
 
@@ -49,5 +49,9 @@ def p7_blocks(spark: SparkSession, root: str) -> DataFrame:
     return site_lines.repeated_blocks(table(spark, root, "pages"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return mojibake.restored_hashes(mojibake.repaired(table(spark, root, "documents")))
+
+
+QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
 ORACLES: dict[str, str] = {}
