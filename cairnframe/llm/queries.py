@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.functions.text import instant
-from cairnframe.llm import main_text, mojibake, records, site_lines, survivors
+from cairnframe.llm import containers, entities, main_text, mojibake, records, site_lines, survivors, tokens
 from cairnframe.session import table
 
 
@@ -32,6 +32,22 @@ def p4_ledger(spark: SparkSession, root: str) -> DataFrame:
     return ledger.select(F.lower(F.hex("key")).alias("key"), "copies", F.col("first_id").alias("page_id"), F.col("first_at"))
 
 
+#: The attributes of the candidates' entity types; altitudes are given as ranges, whose middles vary more.
+P5_FIELDS = {
+    "plant": [entities.Field(n, k, t) for n, k, t in (("first_described", "year", 0), ("region", "text", 0), ("family", "text", 0), ("flowering_month", "month", 0), ("altitude_m", "number", 0.1), ("height", "number", 0.05), ("lifespan", "number", 0.05), ("min_temperature", "degree", 0.9), ("seed_mass", "number", 0.05))],
+    "place": [entities.Field(n, k, t) for n, k, t in (("founded", "year", 0), ("region", "text", 0), ("population", "number", 0.05), ("area", "number", 0.05), ("elevation", "number", 0.05), ("mean_temperature", "degree", 0.9))],
+    "book": [entities.Field(n, k, t) for n, k, t in (("printed", "year", 0), ("author_name", "text", 0), ("subject", "text", 0), ("weight", "number", 0.05), ("loan_period", "number", 0.05), ("spine_height", "number", 0.05))],
+}
+
+
+def p5_matches(spark: SparkSession, root: str) -> DataFrame:
+    return entities.matches(table(spark, root, "candidates"), table(spark, root, "alias_candidates"), table(spark, root, "ref_units"), P5_FIELDS)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return p5_matches(spark, root).select("subject_a", "subject_b")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return survivors.survivors(table(spark, root, "candidates"), ["subject_id", "field"])
 
@@ -49,9 +65,17 @@ def p7_blocks(spark: SparkSession, root: str) -> DataFrame:
     return site_lines.repeated_blocks(table(spark, root, "pages"))
 
 
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.encoded(table(spark, root, "documents"))
+
+
+def p9_containers(spark: SparkSession, root: str) -> DataFrame:
+    return containers.containers(tokens.token_counts(table(spark, root, "documents")), 2048)
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.restored_hashes(mojibake.repaired(table(spark, root, "documents")))
 
 
-QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
+QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p1_found": p1_found, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
 ORACLES: dict[str, str] = {}
