@@ -11,6 +11,7 @@ tried on the other foreign runs of the same text too.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -133,6 +134,9 @@ class Scores:
         self.usual = float((share * self.rarity).sum())
         total, left, right = counts.sum() + 1, counts.sum(1), counts.sum(0)
         self.surprise = -np.log((counts + 0.5) / (left[:, None] + CLASSES / 2))
+        # A class that the corpus never shows is as surprising as one character in all of it.
+        self.surprise[:, right == 0] = np.maximum(self.surprise[:, right == 0], math.log(total + CLASSES))
+        self.surprise[left == 0, :] = np.maximum(self.surprise[left == 0, :], math.log(total + CLASSES))
         information = np.log((counts + 0.5) / (left[:, None] * right[None, :] / total + 0.5))
         self.odd = np.maximum(-information - margin, self.surprise - rare)
         self.odd[:6, :6] = -4.0
@@ -220,12 +224,19 @@ def reread(text: str, scores: Scores) -> str | None:
 
 
 def _gain(text: str, a: int, b: int, name: str, scores: Scores) -> tuple[float, str]:
-    """How much more probable the run [a, b) gets with its neighbours when `name` is undone, and what it gets to be."""
-    fixed = invert(text[a:b], name)
-    if fixed is None:
-        return 0.0, ""
-    before, after = text[max(0, a - 1) : a], text[b : b + 1]
-    return scores.cost([kind(c) for c in text[max(0, a - 1) : b + 1]]) - scores.cost([kind(c) for c in before + fixed + after]), fixed
+    """How much more probable the run [a, b) gets with its neighbours when `name` is undone, and what it gets to be.
+
+    A run garbled several times is followed through its stages, which need not look natural.
+    """
+    before, after, run = text[max(0, a - 1) : a], text[b : b + 1], text[a:b]
+    cost = scores.cost([kind(c) for c in text[max(0, a - 1) : b + 1]])
+    best = (0.0, "")
+    for _ in range(3):
+        run = invert(run, name)
+        if run is None:
+            break
+        best = max(best, (cost - scores.cost([kind(c) for c in before + run + after]), run))
+    return best
 
 
 def restore(text: str, scores: Scores) -> tuple[str, bool]:
