@@ -249,15 +249,18 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Value]], Value]]] = {
     "convert": (3, 3, lambda a: _n((lambda x: F.when(F.abs(x) >= 1, F.round(x, 2)).otherwise(F.round(x, 6)))(S.convert(num(a[0]), str(_constant(a[1], "a unit")), str(_constant(a[2], "a unit")))))),
 }
 
-_SUGAR = ((re.compile(r"\b([A-Za-z_]\w*)\s+(?:over|via)\s+([A-Za-z_]\w*)"), r'"\1", "\2"'), (re.compile(r"\bif\s*\("), "if_("))
+_SUGAR = re.compile(r"\b([A-Za-z_]\w*)\s+(?:over|via)\s+([A-Za-z_]\w*)")
+#: `if(` as a function stands at a beginning, after an opening sign or an operator; after a value it is Python's own `if`.
+_IF = re.compile(r"(^|[(,\[+\-*/%<>=!:]|\b(?:and|or|not|else|in|if))(\s*)\bif\s*\(")
 
 
 def prepared(formula: str) -> str:
     """The formula with its shorthand spelled out; quoted text stays as it is."""
     parts = re.split(r"('[^']*'|\"[^\"]*\")", formula)
     for i in range(0, len(parts), 2):
-        for pattern, to in _SUGAR:
-            parts[i] = pattern.sub(to, parts[i])
+        plain = _SUGAR.sub(r'"\1", "\2"', parts[i])
+        # After quoted text a part begins behind a value, not at a beginning.
+        parts[i] = _IF.sub(r"\1\2if_(", plain) if i == 0 else _IF.sub(r"\1\2if_(", "." + plain)[1:]
     return "".join(parts)
 
 

@@ -97,8 +97,9 @@ def resolved(candidates: DataFrame, cell: list[str], rule: str = "keep_all_and_f
     """
     values = grouped(candidates, cell)
     rank = F.col("tier") + len(trusted or [])
+    ends = lambda t: lambda d: (F.lower(d) == F.lit(t.lower())) | F.endswith(F.lower(d), F.lit("." + t.lower()))
     for i, t in reversed(list(enumerate(trusted or []))):
-        rank = F.when(F.exists("domains", lambda d, t=t: (F.lower(d) == t.lower()) | F.endswith(F.lower(d), F.lit("." + t.lower()))), i).otherwise(rank)
+        rank = F.when(F.exists("domains", ends(t)), i).otherwise(rank)
     named = F.lit(False) if not authority else F.arrays_overlap("domains", F.array(*[F.lit(a) for a in authority]))
     head = F.min(F.struct("tier", "seq", "value", "value_num", "value_max")).alias("head")
     groups = values.groupBy(*cell, "group").agg(head, F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"), F.min(rank).alias("rank"), F.max("fetched_at").alias("fetched_at"), F.max(named.cast("int")).alias("named"), F.sum("n").alias("n"))

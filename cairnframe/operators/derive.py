@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,12 +147,9 @@ def _column(d: Derivation, compiler: Compiler, df: DataFrame) -> Column:
 
 def _coded(d: Derivation, df: DataFrame) -> Column:
     """User code over Arrow batches; a row on which it fails is null."""
-    import pandas as pd
-
     inputs, code = list(d.inputs), d.code
 
-    @F.pandas_udf("string")
-    def run(values: pd.DataFrame) -> pd.Series:
+    def run(values):
         def one(row):
             try:
                 got = code(row)
@@ -161,7 +159,9 @@ def _coded(d: Derivation, df: DataFrame) -> Column:
 
         return pd.Series([one(r) for r in values.to_dict("records")], dtype="object")
 
-    return run(F.struct(*[F.col(c) for c in inputs]))
+    # Annotations are objects here, because the module's own are kept as texts.
+    run.__annotations__ = {"values": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(run, "string")(F.struct(*[F.col(c) for c in inputs]))
 
 
 @dataclass

@@ -94,7 +94,7 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, text_id: str, text: str
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
     terms = phrases.where(F.col(term).isNotNull()).select(term, F.try_element_at(words(F.col(term)), F.lit(1)).alias("_first"), spaced(F.col(term)).alias("_phrase")).where("_first is not null").distinct()
-    firsts = texts.where(F.col(text).isNotNull()).select(text_id, spaced(F.col(text)).alias("_text"), F.explode(F.array_distinct(words(F.col(text)))).alias("_first"))
-    return firsts.join(terms, "_first").where(F.contains("_text", F.col("_phrase"))).select(text_id, term).distinct()
-
-
+    firsts = texts.where(F.col(text).isNotNull()).select(text_id, F.explode(F.array_distinct(words(F.col(text)))).alias("_first"))
+    met = firsts.join(terms, "_first").select(text_id, term, "_phrase")
+    # Only texts that hold a term's first word are read again.
+    return met.join(texts.select(text_id, spaced(F.col(text)).alias("_text")), text_id).where(F.contains("_text", F.col("_phrase"))).select(text_id, term).distinct()

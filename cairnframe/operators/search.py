@@ -43,7 +43,8 @@ def search(pages: DataFrame, query: str, limit: int = 20, domain: str | None = N
     """
     wanted, cols = terms(query), columns or WEIGHTS
     base = pages.where(F.col("domain") == domain) if domain else pages
-    counts = [sum((F.size(F.filter(_words(c), lambda w, t=t: w == t)) * F.lit(weight) for c, weight in cols.items()), F.lit(0.0)).alias(f"_t{i}") for i, t in enumerate(wanted)]
+    is_ = lambda t: lambda w: w == F.lit(t)
+    counts = [sum((F.size(F.filter(_words(c), is_(t))) * F.lit(weight) for c, weight in cols.items()), F.lit(0.0)).alias(f"_t{i}") for i, t in enumerate(wanted)]
     if not wanted:
         return base.limit(0).select(page, "url", "title", F.lit(0.0).alias("score"), F.lit("").alias("snippet"))
     length = sum((F.size(_words(c)) * F.lit(w) for c, w in cols.items()), F.lit(0.0)).alias("_length")

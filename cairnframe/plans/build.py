@@ -59,8 +59,8 @@ def standardized(candidates: DataFrame, spec: Spec) -> tuple[DataFrame, DataFram
             mine = (F.col("entity_type") == e.name) & (F.col("name") == f.name)
             value = standard_value(f, F.col("raw_value"), spec)
             std = F.when(mine, value) if std is None else std.when(mine, value)
-    rows = candidates.withColumn("_std", std).where("_std is not null")
-    flat = rows.select(*candidates.columns, F.col("_std.value").alias("value"), F.col("_std.num").alias("value_num"), F.col("_std.high").alias("value_max"), F.col("_std.unit").alias("unit"), F.col("_std.problem").alias("reason"))
+    # Inlining the struct keeps its one expression from being repeated for each of its fields.
+    flat = candidates.select(*candidates.columns, F.inline(F.array_compact(F.array(std)))).withColumnsRenamed({"num": "value_num", "high": "value_max", "problem": "reason"})
     for e in spec.entities:
         for f in e.fields:
             if f.sanity is not None:
@@ -82,7 +82,8 @@ def build(candidates: DataFrame, spec: Spec, aliases: DataFrame | None = None, r
     placed = cut(resolution.resolve(kept, aliases, fuzzy=fuzzy).where("entity_id is not null"))
     entities = placed.groupBy("entity_id", "entity_type").agg(F.first("canonical_name").alias("canonical_name"))
     cells = conflict.resolved(placed, ["entity_type", "entity_id", "name"], spec.conflict, spec.trusted)
-    settled = conflict.held_back(cells.withColumn("origin", F.lit("extracted")), spec.floor)
+    # Tables and their checks read the settled cells many times over, so the lineage is cut here.
+    settled = cut(conflict.held_back(cells.withColumn("origin", F.lit("extracted")), spec.floor))
     tables = []
     for e in spec.entities:
         mine = settled.where((F.col("entity_type") == e.name) & (F.col("status") == "accepted"))
@@ -92,7 +93,7 @@ def build(candidates: DataFrame, spec: Spec, aliases: DataFrame | None = None, r
         wide = wide.withColumns({f: F.col(f).try_cast("double") for f in numeric}) if numeric else wide
         named = wide.join(entities.where(F.col("entity_type") == e.name).select("entity_id", "canonical_name"), "entity_id")
         extra = spec.derived.get(e.name, [])
-        full = derive(named, extra) if extra else named
+        full = cut(derive(named, extra) if extra else named)
         key = f"{e.name}_id"
         tables.append(Table(e.name, full.withColumnRenamed("entity_id", key), [key], "entity", tuple(d.name for d in extra)))
         for f in e.fields:
