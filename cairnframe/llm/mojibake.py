@@ -140,6 +140,17 @@ class Scores:
         information = np.log((counts + 0.5) / (left[:, None] * right[None, :] / total + 0.5))
         self.odd = np.maximum(-information - margin, self.surprise - rare)
         self.odd[:6, :6] = -4.0
+        # Words recur, so a run's score is remembered with its neighbours.
+        self.best_segment = lru_cache(maxsize=1 << 16)(self._best_segment)
+
+    def _best_segment(self, text: str) -> float:
+        """The score of the best segment of adjacent pairs, in one linear sweep."""
+        classes = [kind(c) for c in text]
+        best = here = 0.0
+        for x, y in zip(classes, classes[1:]):
+            here = max(0.0, here + self.odd[x, y])
+            best = max(best, here)
+        return best
 
     def cost(self, classes: list[int]) -> float:
         return sum(self.surprise[x, y] for x, y in zip(classes, classes[1:]))
@@ -158,12 +169,7 @@ def segments(text: str, scores: Scores) -> list[tuple[int, int]]:
         if b - a > 1 and invertible(found[0]):
             out.append((a, b))
             continue
-        classes = [kind(c) for c in text[max(0, a - 1) : b + 1]]
-        best = here = 0.0
-        for x, y in zip(classes, classes[1:]):
-            here = max(0.0, here + scores.odd[x, y])
-            best = max(best, here)
-        if best > 0:
+        if scores.best_segment(text[max(0, a - 1) : b + 1]) > 0:
             out.append((a, b))
     return out
 
@@ -278,9 +284,10 @@ def repaired(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     Two passes: the corpus counts (69,632 numbers, whatever the corpus), then one narrow pass that scores, isolates and inverts. Null and empty texts are never garbled. A text
     with U+FFFD has lost characters.
     """
-    scores = Scores(*pair_counts(documents, text))
+    counts = pair_counts(documents, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scores(*counts)
         for b in batches:
             rows = []
             for i, t in zip(b[doc], b[text]):
