@@ -22,9 +22,18 @@ def block_keys(key: Column) -> Column:
     return F.array_distinct(F.array(F.concat(F.lit("a"), digits, F.lit(":"), F.substring(letters, 1, 3)), F.concat(F.lit("z"), digits, F.lit(":"), F.substring(letters, -3, 3))))
 
 
-def _ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield b.assign(similarity=[difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(b["key"], b["earlier"])])
+def _ratio(threshold: float):
+    """Similarities of pairs that reach the threshold; two cheap upper bounds spare most full comparisons."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x, y in zip(b["key"], b["earlier"]):
+                m = difflib.SequenceMatcher(None, x, y)
+                out.append(m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0)
+            yield b.assign(similarity=out)
+
+    return run
 
 
 def close_names(names: DataFrame, threshold: float = CLOSE) -> DataFrame:
@@ -45,8 +54,10 @@ def close_names(names: DataFrame, threshold: float = CLOSE) -> DataFrame:
     b = cells.select("entity_type", "block", "step", F.col("key").alias("earlier"), F.col("seq").alias("earlier_seq"))
     longest = F.greatest(F.length("key"), F.length("earlier"))
     near = F.abs(F.length("key") - F.length("earlier")) <= F.greatest(F.lit(2), F.floor(longest * 0.25))
-    met = a.join(b, ["entity_type", "block", "step"]).where((F.col("earlier_seq") < F.col("seq")) & near).select("entity_type", "key", "earlier", "earlier_seq").distinct()
-    scored = met.mapInPandas(_ratio, "entity_type string, key string, earlier string, earlier_seq bigint, similarity double").where(F.col("similarity") >= threshold)
+    # A ratio of the threshold leaves at most (1 − threshold) of both lengths unmatched, and the edit distance is no larger.
+    edits = F.levenshtein("key", "earlier") <= F.floor((F.length("key") + F.length("earlier")) * (1 - threshold) + 1e-9)
+    met = a.join(b, ["entity_type", "block", "step"]).where((F.col("earlier_seq") < F.col("seq")) & near & edits).select("entity_type", "key", "earlier", "earlier_seq").distinct()
+    scored = met.mapInPandas(_ratio(threshold), "entity_type string, key string, earlier string, earlier_seq bigint, similarity double").where(F.col("similarity") >= threshold)
     best = scored.groupBy("entity_type", "key").agg(F.max(F.struct("similarity", (-F.col("earlier_seq")).alias("s"), "earlier")).alias("b"))
     return best.select("entity_type", "key", F.col("b.earlier").alias("earlier"), F.col("b.similarity").alias("similarity"))
 

@@ -43,11 +43,14 @@ def search(pages: DataFrame, query: str, limit: int = 20, domain: str | None = N
     """
     wanted, cols = terms(query), columns or WEIGHTS
     base = pages.where(F.col("domain") == domain) if domain else pages
-    is_ = lambda t: lambda w: w == F.lit(t)
-    counts = [sum((F.size(F.filter(_words(c), is_(t))) * F.lit(weight) for c, weight in cols.items()), F.lit(0.0)).alias(f"_t{i}") for i, t in enumerate(wanted)]
     if not wanted:
         return base.limit(0).select(page, "url", "title", F.lit(0.0).alias("score"), F.lit("").alias("snippet"))
-    length = sum((F.size(_words(c)) * F.lit(w) for c, w in cols.items()), F.lit(0.0)).alias("_length")
+    # Words are counted by patterns, without cutting texts up; terms only where the plain text holds them.
+    edge = r"[\p{L}\p{M}\p{Nd}]"
+    low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in cols}
+    hits = lambda c, t: F.when(F.contains(low[c], F.lit(t)), F.regexp_count(low[c], F.lit(f"(?<!{edge}){re.escape(t)}(?!{edge})"))).otherwise(0)
+    counts = [sum((hits(c, t) * F.lit(w) for c, w in cols.items()), F.lit(0.0)).alias(f"_t{i}") for i, t in enumerate(wanted)]
+    length = sum((F.regexp_count(low[c], F.lit(f"{edge}+")) * F.lit(w) for c, w in cols.items()), F.lit(0.0)).alias("_length")
     scored = base.select(page, "url", "title", "text", length, *counts)
     stats = scored.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *[F.count_if(F.col(f"_t{i}") > 0).alias(f"_d{i}") for i in range(len(wanted))])
     both = scored.crossJoin(F.broadcast(stats))

@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables
 def _plain(rows):
     out = []
     for r in rows:
-        out.append(tuple("" if v is None or v != v else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
+        out.append(tuple("" if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
     return sorted(out)
 
 
