@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ MISSING = ("", "-", "–", "—", "?", "n/a", "na", "n.a.", "none", "null", "nil
 BLANK = r"[\s\u0085   -​    　﻿]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it; plans stay small."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def squeeze(value: Column) -> Column:
     """Text with single spaces inside and none at its ends."""
     return F.trim(F.regexp_replace(value, BLANK + "+", " "))

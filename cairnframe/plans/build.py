@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnframe.functions import standard as S
+from cairnframe.functions.text import let
 from cairnframe.operators import conflict, evidence, resolution
 from cairnframe.operators import values as V
 from cairnframe.operators.derive import derive
@@ -27,27 +28,31 @@ class Dataset:
 
 def standard_value(f: FieldSpec, raw: Column, spec: Spec) -> Column:
     """struct(value, num, high, unit, problem) of a raw text as the field's type."""
+    return let(S.normal(raw), lambda text: _standard(f, text, spec))
+
+
+def _standard(f: FieldSpec, text: Column, spec: Spec) -> Column:
     none = F.lit(None)
-    text = S.normal(raw)
-    made = lambda value, num=None, high=None, unit=None, problem=None: F.struct(value.alias("value"), (num if num is not None else none.cast("double")).cast("double").alias("num"), (high if high is not None else none.cast("double")).cast("double").alias("high"), (unit if unit is not None else none.cast("string")).alias("unit"), (problem if problem is not None else none.cast("string")).alias("problem"))
+
+    def made(value, num=None, high=None, unit=None, problem=None) -> Column:
+        number = lambda c: (c if c is not None else none).cast("double")
+        word = lambda c: (c if c is not None else none).cast("string")
+        return F.struct(value.alias("value"), number(num).alias("num"), number(high).alias("high"), word(unit).alias("unit"), word(problem).alias("problem"))
+
     if spec.standard == "raw" or f.type in ("text", "category", "url"):
         return made(text)
     if f.type in ("number", "range"):
-        if (f.unit or "").upper() in S.CURRENCIES or (not f.unit and any(w in f.name for w in ("price", "cost", "amount", "fee", "salary", "revenue", "budget", "wage"))):
-            m = S.money(text, (f.unit or spec.currency or "").upper() or None, spec.rates)
-            return made(S.display(m["amount"]), m["amount"], None, m["currency"], F.coalesce(m["problem"], F.when(m["amount"].isNull(), "no number found in the value")))
-        m = S.measured(text, f.unit)
-        shown = F.when(m["hi"].isNotNull(), F.concat(S.display(m["lo"]), F.lit("-"), S.display(m["hi"]))).otherwise(S.display(m["lo"]))
-        return made(shown, m["lo"], m["hi"], m["unit"], F.when(m["lo"].isNull(), "no number found in the value"))
+        money = ("price", "cost", "amount", "fee", "salary", "revenue", "budget", "wage")
+        if (f.unit or "").upper() in S.CURRENCIES or (not f.unit and any(w in f.name for w in money)):
+            return let(S.money(text, (f.unit or spec.currency or "").upper() or None, spec.rates), lambda m: made(S.display(m["amount"]), m["amount"], None, m["currency"], F.coalesce(m["problem"], F.when(m["amount"].isNull(), "no number found in the value"))))
+        shown = lambda m: F.when(m["hi"].isNotNull(), F.concat(S.display(m["lo"]), F.lit("-"), S.display(m["hi"]))).otherwise(S.display(m["lo"]))
+        return let(S.measured(text, f.unit), lambda m: made(shown(m), m["lo"], m["hi"], m["unit"], F.when(m["lo"].isNull(), "no number found in the value")))
     if f.type == "date":
-        iso = S.iso_date(text)
-        return made(iso, problem=F.when(iso.isNull(), "could not read a date"))
+        return let(S.iso_date(text), lambda iso: made(iso, problem=F.when(iso.isNull(), "could not read a date")))
     if f.type == "month":
-        m = S.month_of(text)
-        return made(F.try_element_at(F.array(*[F.lit(x) for x in S.MONTHS]), m), m, problem=F.when(m.isNull(), "could not read a month"))
+        return let(S.month_of(text), lambda m: made(F.try_element_at(F.array(*[F.lit(x) for x in S.MONTHS]), m), m, problem=F.when(m.isNull(), "could not read a month")))
     if f.type == "year":
-        y = F.substring(S.iso_date(text), 1, 4).try_cast("int")
-        return made(y.cast("string"), y, problem=F.when(y.isNull(), "could not read a year"))
+        return let(F.substring(S.iso_date(text), 1, 4).try_cast("int"), lambda y: made(y.cast("string"), y, problem=F.when(y.isNull(), "could not read a year")))
     return made(S.boolean(text))
 
 
@@ -81,7 +86,14 @@ def build(candidates: DataFrame, spec: Spec, aliases: DataFrame | None = None, r
     kept, rejects = standardized(candidates, spec)
     placed = cut(resolution.resolve(kept, aliases, fuzzy=fuzzy).where("entity_id is not null"))
     entities = placed.groupBy("entity_id", "entity_type").agg(F.first("canonical_name").alias("canonical_name"))
-    cells = conflict.resolved(placed, ["entity_type", "entity_id", "name"], spec.conflict, spec.trusted)
+    # Values of a field declared multiple do not compete: each is a cell of its own.
+    many = F.lit(False)
+    for e in spec.entities:
+        for f in e.fields:
+            if f.multiple:
+                many = many | ((F.col("entity_type") == e.name) & (F.col("name") == f.name))
+    apart = placed.withColumn("_own", F.when(many, F.lower(F.trim("value"))).otherwise(""))
+    cells = conflict.resolved(apart, ["entity_type", "entity_id", "name", "_own"], spec.conflict, spec.trusted).drop("_own")
     # Tables and their checks read the settled cells many times over, so the lineage is cut here.
     settled = cut(conflict.held_back(cells.withColumn("origin", F.lit("extracted")), spec.floor))
     tables = []
@@ -94,7 +106,8 @@ def build(candidates: DataFrame, spec: Spec, aliases: DataFrame | None = None, r
         named = wide.join(entities.where(F.col("entity_type") == e.name).select("entity_id", "canonical_name"), "entity_id")
         extra = spec.derived.get(e.name, [])
         full = cut(derive(named, extra) if extra else named)
-        key = f"{e.name}_id"
+        # A field of that very name keeps it; the key then gives way.
+        key = f"{e.name}_id" if e.field(f"{e.name}_id") is None else f"{e.name}_key"
         tables.append(Table(e.name, full.withColumnRenamed("entity_id", key), [key], "entity", tuple(d.name for d in extra)))
         for f in e.fields:
             if f.multiple:

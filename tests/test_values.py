@@ -89,6 +89,7 @@ def test_build(spark, tmp_path):
     t = {x.name: x for x in d.tables}
     row = t["plant"].df.first()
     assert row["altitude_m"] == "3000" and row["month"] == 6 and row["zone"] == "high"
+    assert sorted(r["use"] for r in t["plant_use"].df.collect()) == ["oil", "tea"]
     export.write_all([x for x in d.tables if x.name == "plant"], str(tmp_path / "out"), ["csv", "sqlite", "xlsx", "sql", "json", "parquet"])
     with sqlite3.connect(tmp_path / "out" / "dataset.db") as db:
         assert db.execute("select altitude_m from plant").fetchone() == ("3000",)
