@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.functions.text import instant
+from cairnframe.functions.text import MISSING, instant
 from cairnframe.llm import containers, entities, main_text, mojibake, records, site_lines, survivors, tokens
 from cairnframe.session import table
 
@@ -78,4 +78,21 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p1_found": p1_found, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
-ORACLES: dict[str, str] = {}
+_BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_MISSING = ", ".join(f"'{m}'" for m in MISSING)
+
+#: SQL for the queries that SQL can state; the others are tested against brute force, round trips and the public library.
+ORACLES: dict[str, str] = {
+    "p6_found": f"""with c as (select *, raw_value is null or lower(trim(regexp_replace(raw_value, '{_BLANKS}', ' ', 'g'))) in ({_MISSING}) as missing,
+        regexp_replace(trim(fetched_at), '^(\\d{{4}})(\\d{{2}})(\\d{{2}})T(\\d{{2}})(\\d{{2}})(\\d{{2}})', '\\1-\\2-\\3T\\4:\\5:\\6') as t from candidates),
+        r as (select *, try_cast(case when regexp_matches(t, '(Z|[+-]\\d{{2}}:?\\d{{2}})$') then t else t || 'Z' end as timestamptz) as seen from c),
+        k as (select subject_id, field, candidate_id, missing, count(*) over (partition by subject_id, field) as n, row_number() over (partition by subject_id, field order by missing, tier nulls last, confidence desc nulls last, seen desc nulls last, candidate_id) as k from r)
+        select subject_id, field, candidate_id from k where n >= 2 and k = 1 and not missing""",
+    "p4_found": """with p as (select page_id, coalesce(lower(upper(regexp_replace(title, '[^\\p{L}\\p{M}\\p{N}]+', '', 'g'))), '') as t, lower(upper(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]+', '', 'g'))) as b, text from pages where text is not null),
+        k as (select page_id, t, case when regexp_matches(text, '(?s)^\\s*[^:;|\\n]{1,40}:\\s[^;|\\n]*(?:\\s*[;|\\n•·]\\s*[^:;|\\n]{1,40}:\\s[^;|\\n]*)+[;|\\n]?\\s*$')
+        then '=' || array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(text, '\\s*[;|\\n•·]+\\s*'), lambda x: lower(upper(regexp_replace(x, '[^\\p{L}\\p{M}\\p{N}]+', '', 'g')))), lambda x: x <> '')), chr(31)) else b end as k from p where b <> '')
+        select a.page_id as page_a, b.page_id as page_b from k a join k b on a.t = b.t and a.k = b.k and a.page_id < b.page_id""",
+    "p7_found": """with l as (select page_id, domain, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from pages where text is not null and domain is not null),
+        w as (select page_id, domain, line_no, trim(regexp_replace(lower(upper(line)), '[^\\p{L}\\p{M}\\p{Nd}]+', ' ', 'g')) as words from l),
+        r as (select domain, words from w where words <> '' group by 1, 2 having count(distinct page_id) >= 8) select page_id, line_no::bigint as line_no from w join r using (domain, words)""",
+}
