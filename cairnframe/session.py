@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,29 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "cairnframe") -
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, once per application, where their path doesn't hold it already.
+
+    The archive is handed to Spark's own file service, which every executor fetches it from.
+    """
+    package = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _SHIPPED.add(sc.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="cairnframe-code-")) / "cairnframe.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table `name` below `root`; nothing is read before an action."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
