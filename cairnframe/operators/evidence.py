@@ -61,9 +61,13 @@ def sane(number: Column, high: Column, text: Column, limits: tuple | list) -> Co
     return (t == "") | t.isin(allowed)
 
 
+#: The blanks that part sentences, as the content of a Java character class.
+_GAP = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def sentences(text: Column) -> Column:
-    """A text's sentences, cut after full stops, question and exclamation marks, dandas, and at line ends."""
-    return F.filter(F.split(text, r"(?<=[.!?।])\s+|\n+"), lambda s: F.trim(s) != "")
+    """A text's sentences, cut after full stops, question and exclamation marks, dandas, and at line ends; blanks alone are none."""
+    return F.filter(F.split(text, rf"(?<=[.!?।])[{_GAP}]+|\n+"), lambda s: s.rlike(f"[^{_GAP}]"))
 
 
 def evidence_sentence(text: Column, value: Column, most: int = 400) -> Column:

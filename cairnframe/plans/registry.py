@@ -319,6 +319,13 @@ def sentence_count(spark, root):
     return plain.select("doc_id", F.size(evidence.sentences(F.col("text"))).cast("bigint").alias("n"))
 
 
+@query("sentence_count_all")
+def sentence_count_all(spark, root):
+    """The whole job: every text there is. The SQL of `sentence_count` states the split for plain ASCII texts only."""
+    whole = table(spark, root, "documents").where(F.col("text").isNotNull())
+    return whole.select("doc_id", F.size(evidence.sentences(F.col("text"))).cast("bigint").alias("n"))
+
+
 @query("phrase_matches", "select distinct doc_id, n_name as term from documents, (select distinct unnest(['causeway', 'beacon', 'winter count', 'north wall']) as n_name) where text is not null and regexp_matches(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{Nd}]+', ' ', 'g')) || ' ', ' ' || n_name || ' ')")
 def phrase_matches(spark, root):
     terms = spark.createDataFrame([(t,) for t in ("causeway", "beacon", "winter count", "north wall")], "term string")
