@@ -56,6 +56,36 @@ def read_quantities(rows: DataFrame, units: DataFrame, keep: list[str], value: s
     return texts.mapInPandas(read, f"{schema}, quantity string, base_unit string, lo_micro bigint, hi_micro bigint")
 
 
+def with_numbers(rows: DataFrame, units: DataFrame, keep: list[str], value: str = "raw_value", unit: str = "unit", quote: str = "quote") -> DataFrame:
+    """Every row's `keep` columns with `value_num` and `value_max`, its number or range in the base unit of what it states.
+
+    Units are found as in `read_quantities`; a number without any stands as it is written, one of an
+    unknown unit is no number. `value_max` is null for a single value, both are null where no
+    number can be read. One narrow pass, no shuffle.
+    """
+    known = unit_rows(units)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = Units(known)
+        for b in batches:
+            low, high = np.full(len(b), None, dtype=object), np.full(len(b), None, dtype=object)
+            for i, (raw, u, q) in enumerate(zip(b[value], b[unit], b[quote])):
+                got = table.standard(raw, u, q)
+                if got:
+                    ends = got[2] / 1e6, got[3] / 1e6
+                else:
+                    plain = table.read(raw) if raw else None
+                    if plain is None or plain[0] == "sum" or plain[2] is not None or plain[5] or (u and u.strip()):
+                        continue
+                    ends = min(plain[:2]), max(plain[:2])
+                low[i], high[i] = ends[0], ends[1] if ends[1] > ends[0] else None
+            yield b[keep].assign(value_num=pd.Series(low, index=b.index, dtype="float64"), value_max=pd.Series(high, index=b.index, dtype="float64"))
+
+    columns = list(dict.fromkeys([*keep, value, unit, quote]))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*columns).mapInPandas(read, f"{schema}, value_num double, value_max double")
+
+
 def changepoints(values: np.ndarray, penalty: float) -> list[int]:
     """Ends of the segments of the exact penalised least-squares segmentation (PELT).
 

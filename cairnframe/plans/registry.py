@@ -16,7 +16,8 @@ from cairnframe.functions.formula import NUM, STR
 from cairnframe.operators import conflict, evidence, normal_forms, pages, relations, resolution, search, statistics
 from cairnframe.operators import values as V
 from cairnframe.operators.derive import Derivation, derive
-from cairnframe.plans import sqlgate
+from cairnframe.operators.units import with_numbers
+from cairnframe.plans import core_problems, sqlgate
 from cairnframe.session import table
 from cairnframe.sources import records
 from cairnframe.streaming import landing
@@ -355,10 +356,21 @@ def agreeing_values(spark, root):
     return a.join(b, "l_partkey").where("s < t").groupBy("l_partkey").agg(F.count("*").alias("pairs"), F.count_if(conflict.same_value("a", "b")).alias("agree"))
 
 
-def _cells(spark, root) -> DataFrame:
-    c = table(spark, root, "candidates").where(~F.col("field").isin("altitude_m", "height", "lifespan", "min_temperature", "seed_mass", "area", "elevation", "mean_temperature", "weight", "spine_height", "loan_period") & F.col("raw_value").isNotNull())
-    none = F.lit(None).cast("double")
-    return c.select(F.col("subject_id").alias("entity_id"), F.col("field").alias("name"), standard.normal(F.col("raw_value")).alias("value"), none.alias("value_num"), none.alias("value_max"), F.coalesce("tier", F.lit(3)).alias("tier"), F.col("source_id").alias("domain"), "fetched_at", F.col("candidate_id").alias("seq"))
+#: The candidates' fields of numbers, by how they are read: quantities and counts, years, months. The rest are texts.
+QUANTITIES = (*core_problems.MEASURED, "population")
+YEARS, MONTHS = ("first_described", "founded", "printed"), ("flowering_month",)
+
+
+def _cells(spark, root, fields: Callable[[DataFrame], DataFrame] = lambda c: c) -> DataFrame:
+    """Every candidate with a value as a reading of its cell, numbers standardised; `fields` may choose among the rows."""
+    c = fields(table(spark, root, "candidates").where(F.col("raw_value").isNotNull()))
+    keep = ["subject_id", "field", "raw_value", "tier", "source_id", "fetched_at", "candidate_id"]
+    measured = with_numbers(c.where(F.col("field").isin(*QUANTITIES)), table(spark, root, "ref_units"), keep)
+    text = standard.normal(F.col("raw_value"))
+    year = F.coalesce(F.substring(standard.iso_date(text), 1, 4), F.regexp_extract(text, r"(?<!\d)(\d{4})(?!\d)", 1)).try_cast("double")
+    number = F.when(F.col("field").isin(*YEARS), year).when(F.col("field").isin(*MONTHS), standard.month_of(text).cast("double"))
+    others = c.where(~F.coalesce(F.col("field").isin(*QUANTITIES), F.lit(False))).select(*keep, number.alias("value_num"), F.lit(None).cast("double").alias("value_max"))
+    return measured.unionByName(others).select(F.col("subject_id").alias("entity_id"), F.col("field").alias("name"), text.alias("value"), "value_num", "value_max", F.coalesce("tier", F.lit(3)).alias("tier"), F.col("source_id").alias("domain"), "fetched_at", F.col("candidate_id").alias("seq"))
 
 
 @query(
@@ -368,8 +380,15 @@ def _cells(spark, root) -> DataFrame:
     select entity_id, name, arg_min(value, (tier, seq)) as value from c group by 1, 2""",
 )
 def conflict_trusted_first(spark, root):
+    texts = _cells(spark, root, lambda c: c.where(~F.col("field").isin(*core_problems.MEASURED)))
+    return conflict.resolved(texts, ["entity_id", "name"], "trusted_first").where("status = 'accepted'").select("entity_id", "name", "value")
+
+
+@query("conflict_trusted_all")
+def conflict_trusted_all(spark, root):
+    """The whole job: every field. The SQL of `conflict_trusted_first` leaves the measured ones out."""
     out = conflict.resolved(_cells(spark, root), ["entity_id", "name"], "trusted_first")
-    return out.where("status = 'accepted'").select("entity_id", "name", "value")
+    return out.where("status = 'accepted'").select("entity_id", "name", "value", "value_num", "value_max")
 
 
 @query("conflict_majority")
