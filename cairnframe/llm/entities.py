@@ -50,13 +50,15 @@ class Model:
 
     `same` is the chance that two descriptions of one thing agree in an attribute that both give;
     `selective` the least information, in nats, of a pair of attribute chunks that serves as an
-    index; `hot` the size beyond which an index cell is divided by a further attribute.
+    index; `hot` the size beyond which an index cell is divided by a further attribute where every
+    match in it must agree in one, or else met in blocks of about `block` rows.
     """
 
     same: float = 0.955
     same_name: float = 0.7
     selective: float = 7.3
     hot: int = 96
+    block: int = 1024
     least: float = 0.5
 
 
@@ -149,7 +151,7 @@ def matches(rows: DataFrame, aliases: DataFrame, units: DataFrame, fields: dict[
     `fields` lists each entity type's attributes, at most ten. Subjects of other types, of null
     type or of null source match none. Subject ids are whole numbers; null ones match none. A subject in several sources or types takes the smallest.
     An empty table gives none. Cells of the index beyond `model.hot` rows are divided by every
-    further attribute, so that no cell pairs an unbounded group by one value alone.
+    further attribute as long as that loses no match, and then met block against block.
     """
     spark = rows.sparkSession
     rows = rows.where(F.col(subject).isNotNull())
@@ -187,6 +189,7 @@ def _mix(*parts) -> np.ndarray:
 
 
 CARRIED = ["id", "kind", "source", "low", "high"]
+CELL = [*CARRIED, "key", "used", "need"]
 
 
 class Index:
@@ -199,12 +202,16 @@ class Index:
     def __init__(self, fields: dict[str, list[Field]], weights: dict, size: dict[str, int], model: Model):
         self.kinds, self.model = list(fields), model
         n = len(fields)
+        odds = math.log(model.least / (1 - model.least))
         self.gain, self.loss, self.steps, self.size = np.zeros((n, 10)), np.zeros((n, 10)), np.zeros((n, 10), dtype=np.int64), np.ones(n)
         for t, fs in enumerate(fields.values()):
             self.size[t] = size.get(self.kinds[t], 1)
             for k, f in enumerate(fs):
                 self.gain[t, k], self.loss[t, k] = weights[self.kinds[t]].get(k, (0.0, 0.0))
                 self.steps[t, k] = _steps(f) if f.kind in ("number", "degree") else 0
+        # What attributes must tell of a match: alone with names that are merely close, and beside any evidence.
+        self.prior = np.log(self.size) + odds
+        self.apart = self.prior - CLOSE
 
     @staticmethod
     def codes(b: pd.DataFrame) -> np.ndarray:
@@ -253,20 +260,21 @@ class Index:
     def divided(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The cells of hot cells by every attribute that they do not share already."""
         for b in batches:
+            need = b["need"].to_numpy()
             codes, kinds, used, key, out = self.codes(b), b["kind"].to_numpy(), b["used"].to_numpy(), b["key"].to_numpy(np.int64), []
             for t in range(len(self.kinds)):
                 for k in range(10):
                     if self.gain[t, k]:
                         at = np.flatnonzero((kinds == t) & (codes[:, k] > 0) & ((used >> k) & 1 == 0))
                         for g in self.grids(t, k):
-                            out.append(b.iloc[at][CARRIED].assign(key=_mix(key[at], np.full(len(at), k * 2 + g), self.cell(t, k, codes[at, k], g)), used=used[at] | (1 << k)))
+                            out.append(b.iloc[at][CARRIED].assign(key=_mix(key[at], np.full(len(at), k * 2 + g), self.cell(t, k, codes[at, k], g)), used=used[at] | (1 << k), need=need[at]))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     def meet(self, b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         """Pairs within cells whose attributes do not speak against a match, with their log-likelihood ratios."""
         n = len(b)
-        codes, kinds, source, ids = self.codes(b), b["kind"].to_numpy(), b["source"].to_numpy(), b["id"].to_numpy()
+        codes, kinds, source, ids, side = self.codes(b), b["kind"].to_numpy(), b["source"].to_numpy(), b["id"].to_numpy(), b["side"].to_numpy()
         cell_of = np.repeat(np.arange(len(starts)), np.diff([*starts, n]))
         left_in = np.array([*starts[1:], n])[cell_of] - np.arange(n) - 1
         parts = []
@@ -278,7 +286,7 @@ class Index:
             count = left_in[at:end]
             x = np.repeat(np.arange(at, end), count)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
-            keep = source[x] != source[y]
+            keep = (source[x] != source[y]) & ((side[x] == 0) | (side[x] != side[y]))
             x, y = x[keep], y[keep]
             total = np.zeros(len(x))
             t = kinds[x]
@@ -296,8 +304,12 @@ class Index:
 def _likely(profiles: DataFrame, named: DataFrame, words: DataFrame, index: Index, model: Model) -> DataFrame:
     """(id, id2, kind, attributes): pairs that meet in a cell and whose attributes do not speak against a match.
 
-    Cells beyond `model.hot` rows are divided by every attribute that they do not share yet, up to
-    three times; what is still together then agrees in four attributes. Hot cells are known from
+    Every pair that scores as a match is formed if it shares a cell, whatever the cell's size. A
+    cell beyond `model.hot` rows is divided by every attribute that it does not share yet where
+    what it shares is too little for a match, so that a match must agree in a further one; where it
+    is enough, rows go into blocks and each block meets each. Of a name form's cell the score asks
+    the more the more subjects bear it; a pair of several forms is found in the rarest's cell, and
+    other cells need only find pairs without a common form. Hot cells are known from
     counts that are combined before the shuffle; their keys are broadcast only up to 200,000.
     """
     number = F.create_map(*[F.lit(x) for i, t in enumerate(index.kinds) for x in (t, i)])
@@ -309,23 +321,40 @@ def _likely(profiles: DataFrame, named: DataFrame, words: DataFrame, index: Inde
     forms_ = whole.select(*CARRIED, F.xxhash64("_kind", "form").alias("key"), F.lit(0).cast("bigint").alias("used"))
     each = whole.select(*CARRIED, "_kind", F.explode(F.split("form", " ")).alias("word")).where("length(word) > 2").distinct()
     told = each.join(words.where("w > 1").select(F.col("kind").alias("_kind"), "word", "w"), ["_kind", "word"]).select(*CARRIED, F.xxhash64("word").alias("word"), "w")
-    cells = forms_.unionByName(plain.mapInPandas(index.pairs_of_chunks, schema)).unionByName(told.mapInPandas(index.words, schema))
+    per_kind = lambda v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), F.col("kind") + 1)
+    attributes = plain.mapInPandas(index.pairs_of_chunks, schema).unionByName(told.mapInPandas(index.words, schema)).withColumn("need", per_kind(index.apart))
+    cells = forms_.withColumn("need", F.lit(None).cast("double")).unionByName(attributes)
+    shared = sum((F.when(F.getbit("used", F.lit(k)) == 1, per_kind(index.gain[:, k])).otherwise(0.0) for k in range(10)), F.lit(0.0))
+    of_name = per_kind(index.prior) - F.log(F.greatest(F.lit(1.0), model.same_name * per_kind(index.size) / F.col("n")))
     calm = []
-    for _ in range(3):
-        hot = cut(cells.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > model.hot).select("key", F.lit(True).alias("hot")))
+    # Each round shares one more of the ten attributes; a cell that shares all is settled.
+    while True:
+        hot = cut(cells.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > model.hot))
         many = hot.count()
         if not many:
+            calm.append(cells.select(*CARRIED, "key", F.lit(0).alias("side")))
             break
-        marked = cells.join(F.broadcast(hot) if many <= 200_000 else hot, "key", "left")
-        calm.append(marked.where("hot is null").drop("hot"))
-        cells = marked.where("hot").drop("hot").mapInPandas(index.divided, schema)
-    for c in calm:
+        marked = cells.join(F.broadcast(hot) if many <= 200_000 else hot, "key", "left").withColumn("need", F.coalesce("need", of_name))
+        calm.append(marked.where("n is null").select(*CARRIED, "key", F.lit(0).alias("side")))
+        enough = shared >= F.col("need") - 1e-6
+        calm.append(_blocks(marked.where(F.col("n").isNotNull() & enough), model.block))
+        cells = marked.where(F.col("n").isNotNull() & ~enough).select(*CELL).mapInPandas(index.divided, f"{schema}, need double")
+    cells = calm[0]
+    for c in calm[1:]:
         cells = cells.unionByName(c)
     met = map_groups(cells, ["key"], [], index.meet, f"id {id_type}, id2 {id_type}, kind int, attributes double")
     name = F.array(*[F.lit(t) for t in index.kinds])
     return met.groupBy("id", "id2").agg(F.first("kind").alias("kind"), F.first("attributes").alias("attributes")).select("id", "id2", name[F.col("kind")].alias("kind"), "attributes")
 
 
+def _blocks(cells: DataFrame, size: int) -> DataFrame:
+    """Rows of cells of `n` rows in blocks of about `size`, once for every block that theirs meets; `side` tells two blocks apart."""
+    placed = cells.withColumn("_of", F.ceil(F.col("n") / size)).withColumn("_mine", F.pmod(F.xxhash64("id", "key"), "_of"))
+    met = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_of") - 1)))
+    key = F.when(F.col("_of") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other")))
+    return met.select(*CARRIED, key.alias("key"), F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2).alias("side"))
+
+
 def _slots() -> list[Column]:
     return [F.shiftrightunsigned(F.col("low" if k < 5 else "high"), BITS * (k % 5)).bitwiseAND(F.lit(CODES - 1)) for k in range(10)]
 
