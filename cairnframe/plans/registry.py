@@ -409,6 +409,13 @@ def entities_exact(spark, root):
     return resolution.resolve(rows, fuzzy=False).where("entity_id is not null").groupBy("entity_id", "entity_type", "canonical_name").agg(F.count("*").alias("rows")).select("entity_type", "canonical_name", "rows")
 
 
+@query("entities_exact_all")
+def entities_exact_all(spark, root):
+    """The whole job: names of every script. The SQL of `entities_exact` leaves out those without ASCII letters or digits."""
+    rows = table(spark, root, "candidates").select("entity_type", "identity", F.col("candidate_id").alias("seq")).where(standard.comparison_key(F.col("identity")) != "")
+    return resolution.resolve(rows, fuzzy=False).where("entity_id is not null").groupBy("entity_id", "entity_type", "canonical_name").agg(F.count("*").alias("rows")).select("entity_type", "canonical_name", "rows")
+
+
 @query("entities_fuzzy")
 def entities_fuzzy(spark, root):
     rows = table(spark, root, "candidates").select("entity_type", "identity", F.col("candidate_id").alias("seq"))
@@ -524,6 +531,12 @@ def term_index(spark, root):
     return search.build_index(table(spark, root, "pages"), columns={"title": 4.0})
 
 
+@query("term_index_all")
+def term_index_all(spark, root):
+    """The whole job: all four columns. The SQL of `term_index` is of titles."""
+    return search.build_index(table(spark, root, "pages"))
+
+
 @query("corpus_totals", "select count(*) as pages, count(distinct domain) as domains, sum(word_count)::bigint as words from pages")
 def corpus_totals(spark, root):
     return search.corpus_stats(table(spark, root, "pages"))[0]

@@ -41,3 +41,17 @@ def test_conflicts_of_measured_fields(spark, tmp_path):
     first = {(r.entity_id, r.name): (r.value, r.value_num, r.value_max) for r in registry.QUERIES["conflict_trusted_all"](spark, str(tmp_path)).collect()}
     assert first[(1, "altitude_m")] == ("10 m", 10.0, None) and first[(4, "height")] == ("5 m to 10 m", 5.0, 10.0)
     assert set(first) == set(won)
+
+
+def test_names_of_every_script(spark, tmp_path):
+    rows = [(1, "plant", "मोन्ब्रिउम रिजिना"), (2, "plant", " मोन्ब्रिउम  रिजिना."), (3, "plant", "Salt-Ferry"), (4, "plant", "salt ferry"), (5, "plant", " "), (6, "plant", None), (7, "place", "மலை")]
+    spark.createDataFrame(rows, "candidate_id bigint, entity_type string, identity string").write.parquet(str(tmp_path / "candidates.parquet"))
+    got = {(r.entity_type, r.canonical_name, r.rows) for r in registry.QUERIES["entities_exact_all"](spark, str(tmp_path)).collect()}
+    assert got == {("plant", "मोन्ब्रिउम रिजिना", 2), ("plant", "Salt-Ferry", 2), ("place", "மலை", 1)}
+
+
+def test_index_of_whole_pages(spark, tmp_path):
+    rows = [(1, "Salt ferry", None, "Salt", "a ferry, a नाव"), (2, None, "Ferry", None, None)]
+    spark.createDataFrame(rows, "page_id bigint, title string, description string, headings string, text string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.page_id, r.term): r.tf for r in registry.QUERIES["term_index_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "salt"): 6.0, (1, "ferry"): 5.0, (1, "a"): 2.0, (1, "नाव"): 1.0, (2, "ferry"): 2.0}
