@@ -7,14 +7,13 @@ by bucket, so that however many thousand attributes there are, rows are shuffled
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnframe.functions.text import BLANK, is_missing, squeeze
-from cairnframe.session import scratch
+from cairnframe.session import bucket_count, bucketed
 
 # Month names and their usual short forms, by month.
 MONTHS = {
@@ -134,21 +133,18 @@ def wide_table(rows: DataFrame, specs: list[tuple[str, str, bool]], entity: str
     A field declared multiple is an array of its distinct values in order; of a single field with
     several readable values the most frequent stands, ties going to the smallest text. Entities
     without any filled cell still have a row. Null entities have none. An empty table gives an
-    empty table with all columns.
+    empty table with all columns. The cells stay in the shared folder until `session.release`.
     """
     spark = rows.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or bucket_count(rows)
     cells = read_cells(rows, specs, entity, name, value)
     blocks = {f: i // block for i, (f, _, _) in enumerate(specs)}
     index = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
     # The counts are merged map-side, so one entity or one repeated value with a huge share of the rows shrinks before the shuffle.
     counted = cells.groupBy(entity, "name", "cell").agg(F.count("*").alias("n")).withColumn("block", index[F.col("name")])
     every = rows.select(entity).where(F.col(entity).isNotNull()).distinct().select(entity, F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("cell"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).alias("block"))
-    stored = f"cairnframe_cells_{uuid.uuid4().hex}"
-    path = scratch(spark, "cells")
-    counted.unionByName(every).repartition(n, F.col(entity)).write.bucketBy(n, entity).sortBy(entity).format("parquet").option("path", path).saveAsTable(stored)
-    bucketed = spark.table(stored)
-    wide = bucketed.where("block = -1").select(entity)
+    stored = spark.table(bucketed(counted.unionByName(every), "cells", n, entity, sort=True))
+    wide = stored.where("block = -1").select(entity)
     for b in sorted(set(blocks.values())):
         columns = []
         for f, kind, many in specs:
@@ -162,7 +158,7 @@ def wide_table(rows: DataFrame, specs: list[tuple[str, str, bool]], entity: str
             else:
                 best = F.min(F.when(mine & F.col("cell").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("cell").alias("cell"))))
                 columns.append(as_type(best["cell"]).alias(f))
-        wide = wide.join(bucketed.where(F.col("block") == b).groupBy(entity).agg(*columns), entity, "left")
+        wide = wide.join(stored.where(F.col("block") == b).groupBy(entity).agg(*columns), entity, "left")
     return wide
 
 

@@ -52,17 +52,22 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts and intermediate tables.
+    """The folder for lineage cuts and intermediate tables, which all executors must share.
 
-    A cluster names it in `spark.checkpoint.dir`. Only where that is unset (tests on one
-    machine) a temporary folder is made and used for the life of the session.
+    A cluster names it in `spark.checkpoint.dir`, or the session by `setCheckpointDir`. Only on
+    one machine, where neither is set (tests), a temporary folder is made and used for the life
+    of the session; on a cluster that is an error.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
+    root, set_ = sc.getConf().get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if root is None and set_.isDefined():
+        root = set_.get()
     if root is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.environ.get("CAIRNFRAME_SHARED") or tempfile.mkdtemp(prefix="cairnframe-")
         os.environ["CAIRNFRAME_SHARED"] = root
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if set_.isEmpty():
         sc.setCheckpointDir(root)
     return root
 
@@ -73,9 +78,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, which `release` deletes."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, key: str, sort: bool = False) -> str:
+    """Writes `df` as a table bucketed by `key` in the shared folder; its name."""
+    path = scratch(df.sparkSession, name)
+    table_name = "cairnframe_" + path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
+    (writer.sortBy(key) if sort else writer).format("parquet").option("path", path).saveAsTable(table_name)
+    return table_name
+
+
+def drop(spark: SparkSession, name: str) -> None:
+    """Drops a table of `bucketed` and deletes its files."""
+    _delete(spark, [p for p in _SCRATCH.get(spark.sparkContext.applicationId, []) if name.endswith(p.rsplit("-", 1)[1])])
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every intermediate table of the session; DataFrames that read them are void afterwards."""
+    _delete(spark, list(_SCRATCH.get(spark.sparkContext.applicationId, [])))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        spark.sql("drop table if exists cairnframe_" + path.rsplit("/", 1)[1].replace("-", "_"))
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _SCRATCH[spark.sparkContext.applicationId].remove(path)
+
+
+def bucket_count(df: DataFrame, rows_each: int = 1_000_000) -> int:
+    """Buckets for a stored table: by its number of rows, as many as cores at least, as shuffle partitions at most."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-df.count() // rows_each)))
 
 
 def few_bytes(df: DataFrame, limit: int = 8 << 20) -> bool:
