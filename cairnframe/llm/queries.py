@@ -32,6 +32,12 @@ def p4_ledger(spark: SparkSession, root: str) -> DataFrame:
     return ledger.select(F.lower(F.hex("key")).alias("key"), "copies", F.col("first_id").alias("page_id"), F.col("first_at"))
 
 
+def p4_members(spark: SparkSession, root: str) -> DataFrame:
+    """Each page under its record: the record's number of copies and its earliest page."""
+    keys, ledger = p4_keys(spark, root)
+    return records.members(keys, ledger).select(F.col("id").alias("page_id"), F.col("first_id").alias("representative"), "copies")
+
+
 #: The attributes of the candidates' entity types; altitudes are given as ranges, whose middles vary more.
 P5_FIELDS = {
     "plant": [entities.Field(n, k, t) for n, k, t in (("first_described", "year", 0), ("region", "text", 0), ("family", "text", 0), ("flowering_month", "month", 0), ("altitude_m", "number", 0.1), ("height", "number", 0.05), ("lifespan", "number", 0.05), ("min_temperature", "degree", 0.9), ("seed_mass", "number", 0.05))],
@@ -77,10 +83,16 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.restored_hashes(mojibake.repaired(table(spark, root, "documents")))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p1_found": p1_found, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
+QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p1_found": p1_found, "p4_found": p4_found, "p4_ledger": p4_ledger, "p4_members": p4_members, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_blocks": p7_blocks}
 _BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 _MISSING = ", ".join(f"'{m}'" for m in MISSING)
 
+_BARE = "lower(upper(regexp_replace({}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')))".format
+#: Pages with their title and canonical text, parts sorted.
+_RECORDS = f"""with p as (select page_id, landed_at, coalesce({_BARE('title')}, '') as t, {_BARE('text')} as b, text from pages where text is not null),
+        k as (select page_id, landed_at, t, case when regexp_matches(text, '(?s)^\\s*[^:;|\\n]{{1,40}}:\\s[^;|\\n]*(?:\\s*[;|\\n•·]\\s*[^:;|\\n]{{1,40}}:\\s[^;|\\n]*)+[;|\\n]?\\s*$')
+        then '=' || array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(text, '\\s*[;|\\n•·]+\\s*'), lambda x: {_BARE('x')}), lambda x: x <> '')), chr(31)) else b end as k from p where b <> '')"""
+
 #: SQL for the queries that SQL can state; the others are tested against brute force, round trips and the public library.
 ORACLES: dict[str, str] = {
     "p6_found": f"""with c as (select *, raw_value is null or lower(trim(regexp_replace(raw_value, '{_BLANKS}', ' ', 'g'))) in ({_MISSING}) as missing,
@@ -88,10 +100,9 @@ ORACLES: dict[str, str] = {
         r as (select *, try_cast(case when regexp_matches(t, '(Z|[+-]\\d{{2}}:?\\d{{2}})$') then t else t || 'Z' end as timestamptz) as seen from c),
         k as (select subject_id, field, candidate_id, missing, count(*) over (partition by subject_id, field) as n, row_number() over (partition by subject_id, field order by missing, tier nulls last, confidence desc nulls last, seen desc nulls last, candidate_id) as k from r)
         select subject_id, field, candidate_id from k where n >= 2 and k = 1 and not missing""",
-    "p4_found": """with p as (select page_id, coalesce(lower(upper(regexp_replace(title, '[^\\p{L}\\p{M}\\p{N}]+', '', 'g'))), '') as t, lower(upper(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]+', '', 'g'))) as b, text from pages where text is not null),
-        k as (select page_id, t, case when regexp_matches(text, '(?s)^\\s*[^:;|\\n]{1,40}:\\s[^;|\\n]*(?:\\s*[;|\\n•·]\\s*[^:;|\\n]{1,40}:\\s[^;|\\n]*)+[;|\\n]?\\s*$')
-        then '=' || array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(text, '\\s*[;|\\n•·]+\\s*'), lambda x: lower(upper(regexp_replace(x, '[^\\p{L}\\p{M}\\p{N}]+', '', 'g')))), lambda x: x <> '')), chr(31)) else b end as k from p where b <> '')
-        select a.page_id as page_a, b.page_id as page_b from k a join k b on a.t = b.t and a.k = b.k and a.page_id < b.page_id""",
+    "p4_found": f"""{_RECORDS} select a.page_id as page_a, b.page_id as page_b from k a join k b on a.t = b.t and a.k = b.k and a.page_id < b.page_id""",
+    "p4_ledger": f"""{_RECORDS} select md5(t || chr(30) || k) as key, count(*) as copies, arg_min(page_id, (landed_at is null, landed_at, page_id)) as page_id, min(landed_at) as first_at from k group by t, k""",
+    "p4_members": f"""{_RECORDS} select page_id, first_value(page_id) over (partition by t, k order by landed_at nulls last, page_id) as representative, count(*) over (partition by t, k) as copies from k""",
     "p7_found": """with l as (select page_id, domain, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from pages where text is not null and domain is not null),
         w as (select page_id, domain, line_no, trim(regexp_replace(lower(upper(line)), '[^\\p{L}\\p{M}\\p{Nd}]+', ' ', 'g')) as words from l),
         r as (select domain, words from w where words <> '' group by 1, 2 having count(distinct page_id) >= 8) select page_id, line_no::bigint as line_no from w join r using (domain, words)""",

@@ -97,3 +97,26 @@ def test_ledger(spark):
     assert pairs == {(a, b) for a, b in itertools.combinations(range(9), 2) if a % 3 == b % 3}
     none = records.Ledger(spark)
     assert none.update(keys.limit(0)).count() == 0
+
+
+def test_many_parts_and_hot_keys(spark):
+    parts = [f"label {i}: value {i}" for i in range(100_000)]
+    got = _keys(spark, [(1, "d", "T", None, "; ".join(parts), None), (2, "e", "t", None, " |\n".join(x.upper() for x in reversed(parts)), None)])
+    assert got.select("key").distinct().count() == 1
+    # A third of all rows under one key, in blocks far smaller than the key; a page that stands twice is paired once.
+    rows = [(i, "d", "t", None, "same" if i % 3 == 0 else f"text {i}", None) for i in range(600)] + [(0, "d", "t", None, "Same!", None)]
+    keys = _keys(spark, rows)
+    ledger = records.record_ledger(keys, F.lit(1), [1])
+    want = {(a, b) for a in range(0, 600, 3) for b in range(a + 3, 600, 3)}
+    for block in (7, 64, 10_000):
+        pairs = [(r.page_a, r.page_b) for r in records.copy_pairs(keys, ledger, block).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    facts = {r.id: (r.copies, r.first_id) for r in records.members(keys, ledger).collect()}
+    assert facts[300] == (201, 0) and facts[1] == (1, 1)
+
+
+def test_bullets_inside_values():
+    import re
+
+    split = lambda t: [p for p in re.split(records.SEPARATOR, t) if p]
+    assert split("a: x · y; b: z") == ["a: x · y", "b: z"] and split("a: x • b: y\n• c: d") == ["a: x", "b: y", "c: d"]
