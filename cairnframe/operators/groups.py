@@ -23,7 +23,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[
             if not len(b):
                 continue
             b = pd.concat([rest, b], ignore_index=True) if rest is not None else b
-            first = _starts(b, keys)
+            first = starts(b, keys)
             if len(first) > 1:
                 cut = first[-1]
                 yield work(b.iloc[:cut], first[:-1])
@@ -32,13 +32,13 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[
                 rest = b
         if rest is not None and len(rest):
             rest = rest.reset_index(drop=True)
-            yield work(rest, _starts(rest, keys))
+            yield work(rest, starts(rest, keys))
 
     shuffled = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
     return shuffled.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def _starts(b: pd.DataFrame, keys: list[str]) -> np.ndarray:
+def starts(b: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Where a new group begins; nulls equal nulls."""
     new = np.zeros(len(b), dtype=bool)
     new[0] = True

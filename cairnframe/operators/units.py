@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnframe.functions.quantity import Units
-from cairnframe.operators.groups import map_groups
-from cairnframe.session import cut
+from cairnframe.operators.groups import map_groups, starts
+from cairnframe.session import cut, few_bytes
 
 def unit_rows(units: DataFrame) -> list[tuple]:
     """The unit table on the driver. It is a reference table; more than 100,000 rows are refused."""
@@ -92,15 +93,19 @@ def changepoints(values: np.ndarray, penalty: float) -> list[int]:
     Minimises the sum over segments of squared distances to the segment's mean plus `penalty`
     per segment; candidates that can never win again are pruned, which loses no optimum.
     """
-    n = len(values)
+    return _segment(np.ones(len(values)), values, values**2, penalty)
+
+
+def _segment(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, penalty: float) -> list[int]:
+    """`changepoints` of items that each stand for `counts` values of the given sums, which stay together."""
+    n = len(counts)
     if n == 0:
         return []
-    total, square = np.concatenate([[0.0], np.cumsum(values)]), np.concatenate([[0.0], np.cumsum(values**2)])
+    size, total, square = (np.concatenate([[0.0], np.cumsum(x)]) for x in (counts, sums, squares))
     best, last = np.empty(n + 1), np.zeros(n + 1, dtype=np.int64)
     best[0], alive = -penalty, np.array([0])
     for t in range(1, n + 1):
-        size = t - alive
-        cost = np.maximum(square[t] - square[alive] - (total[t] - total[alive]) ** 2 / size, 0.0)
+        cost = np.maximum(square[t] - square[alive] - (total[t] - total[alive]) ** 2 / (size[t] - size[alive]), 0.0)
         through = best[alive] + cost
         k = int(np.argmin(through))
         best[t], last[t] = through[k] + penalty, alive[k]
@@ -112,95 +117,243 @@ def changepoints(values: np.ndarray, penalty: float) -> list[int]:
     return ends[::-1]
 
 
+def log_ratios(factors: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the ratios of any two factors, each once, in order."""
+    return np.unique(np.round(np.log(factors[:, None] / factors[None, :]).ravel(), 9))
+
+
+def reversal(shift: float, ratios: np.ndarray, tolerance: float) -> float:
+    """The factor of the known ratio nearest to a level shift, or 1 where none is within `tolerance`."""
+    k = int(np.argmin(np.abs(ratios - shift)))
+    known = abs(ratios[k]) > 1e-9 and abs(ratios[k] - shift) <= tolerance and abs(ratios[k] - shift) < abs(shift)
+    return math.exp(ratios[k]) if known else 1.0
+
+
+def settled(mids: list[float], said: list[int], level: float, ratios: np.ndarray, tolerance: float) -> tuple[list[float], float]:
+    """The factor of each of several segments that follow one another, and the level that they leave.
+
+    `level` is that of the segment before them, in the base unit. A segment that states its unit
+    sets the level. One that is off by a known ratio (within `tolerance` in natural logarithms) is
+    brought back by it; any other shift is a real change, and its level is the next one's measure.
+    """
+    out = []
+    for mid, states in zip(mids, said):
+        factor = 1.0 if states else reversal(level - mid, ratios, tolerance)
+        if factor == 1.0:
+            level = mid
+        out.append(factor)
+    return out, level
+
+
 def undo_unit_changes(values: np.ndarray, stated: np.ndarray, factors: np.ndarray, penalty: float, tolerance: float) -> np.ndarray:
     """The factor by which each reading of a history, in time order, must be multiplied.
 
-    Segments with stated units fix the level of the history; without any, its longest segment
-    does. A segment whose level is off by a known ratio of `factors` (within `tolerance` in
-    natural logarithms) is brought back by it; any other shift is a real change and stays.
+    The search begins at the first segment that holds stated readings, in their absence at the
+    longest (ties: the earliest), and goes from there to both ends; see `settled`.
     """
     out = np.ones(len(values))
     usable = np.isfinite(values) & (values > 0)
     if usable.sum() < 2:
         return out
     logs, where = np.log(values[usable]), np.flatnonzero(usable)
-    ratios = np.unique(np.round(np.log(factors[:, None] / factors[None, :]).ravel(), 9))
-    start, parts = 0, []
+    ratios, start, parts = log_ratios(factors), 0, []
     for end in changepoints(logs, penalty):
-        parts.append((start, end, float(np.median(logs[start:end])), int(stated[where[start:end]].sum())))
+        parts.append((start, end, float(logs[start:end].mean()), int(stated[where[start:end]].sum())))
         start = end
-    _, _, level, _ = max(parts, key=lambda p: (p[3], p[1] - p[0], -p[0]))
-    for a, b, mid, said in parts:
-        if said:
-            level = mid
-            continue
-        shift = level - mid
-        k = int(np.argmin(np.abs(ratios - shift)))
-        if abs(ratios[k]) > 1e-9 and abs(ratios[k] - shift) <= tolerance and abs(ratios[k] - shift) < abs(shift):
-            out[where[a:b]] = math.exp(ratios[k])
+    k = min(range(len(parts)), key=lambda i: (not parts[i][3], i if parts[i][3] else parts[i][0] - parts[i][1], i))
+    for way in (parts[k:], parts[:k][::-1]):
+        for (a, b, _, _), factor in zip(way, settled([p[2] for p in way], [p[3] for p in way], parts[k][2], ratios, tolerance)[0]):
+            out[where[a:b]] = factor
     return out
 
 
-def unit_histories(rows: DataFrame, units: DataFrame, by: list[str], row_id: str = "candidate_id", at: str = "at", value: str = "raw_value", unit: str = "unit", quote: str = "quote", penalty: float = 0.5, tolerance: float = 0.08, window: int = 4096) -> DataFrame:
+def unit_histories(rows: DataFrame, units: DataFrame, by: list[str], row_id: str = "candidate_id", at: str = "at", value: str = "raw_value", unit: str = "unit", quote: str = "quote", penalty: float = 0.5, tolerance: float = 0.08, window: int = 4096, margin: int = 64) -> DataFrame:
     """Every reading that holds a number, with unstated and changed units put right.
 
     `by` names one source history (for instance subject and field), `at` its time order. Rows
-    that state a unit are read as in `read_quantities`; the rest start in the base unit of their
-    history's stated quantity. Histories longer than `window` are cut at even steps of their time
-    range into blocks of about that size, which are searched independently, so that no history
-    is gathered into one task however long it is. Histories in which no row states a unit have no
-    quantity and come out unchanged with `base_unit` null. Rows without a number come out of no
-    row; a null `at` counts as earliest; ties in time are ordered by `row_id`.
+    that state a unit are read as in `read_quantities` and keep what they state; the rest start in
+    the base unit of their history's stated quantity and are brought back where their segment is
+    off by a known ratio. Histories in which no row states a unit have no quantity and come out
+    unchanged with `base_unit` null. Rows without a number come out of no row; a null `at` counts
+    as earliest; ties in time are ordered by `row_id`.
+
+    Returns `by`, `row_id`, `base_unit`, `value`, `unit_shift`, `stated`, and of stated rows
+    `lo_micro` and `hi_micro`.
+
+    A history of at most `window` readings is searched whole. Longer ones are searched in pieces
+    of at most `window` readings, cut by their number in a range-partitioned order, so that
+    neither a hot history nor equal or null times swell a task. The pieces' segments, and one by
+    one the `margin` readings at both ends of a piece, are then searched again as weighted items
+    until each history is one piece (or no longer shrinks, having a real change every few
+    readings), so changes are found across the cuts; levels are carried over whole histories. A
+    level shift of more than 2·√(penalty/`margin`) – 0.18, under half the smallest ratio of two
+    usual units – is thus found wherever the cuts fall.
     """
     known = unit_rows(units)
     logs = {}
     for quantity, _, _, factor, offset in known:
         if not offset and factor > 0:
             logs.setdefault(quantity, set()).add(float(factor))
+    logs = {q: np.array(sorted(f)) for q, f in logs.items()}
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Units(known)
         for b in batches:
-            out = b[[*by, row_id, at]].copy()
             got = []
             for x in zip(b[value], b[unit], b[quote]):
                 read = table.standard(*x)
                 if read:
-                    got.append((read[0], read[1], (read[2] + read[3]) / 2e6, True))
+                    got.append((read[0], read[1], (read[2] + read[3]) / 2e6, True, read[2], read[3]))
                 else:
                     plain = table.read(x[0])
                     bare = plain is not None and plain[0] != "sum" and plain[2] is None and not plain[5]
-                    got.append((None, None, (plain[0] + plain[1]) / 2, False) if bare else None)
+                    got.append((None, None, (plain[0] + plain[1]) / 2, False, None, None) if bare else None)
             hit = [i for i, g in enumerate(got) if g]
-            out = out.iloc[hit].reset_index(drop=True)
-            for k, (name, kind) in enumerate((("quantity", "object"), ("base_unit", "object"), ("number", "float64"), ("stated", "bool"))):
+            out = b[[*by, row_id, at]].iloc[hit].reset_index(drop=True)
+            for k, (name, kind) in enumerate((("quantity", "object"), ("base_unit", "object"), ("number", "float64"), ("stated", "bool"), ("lo_micro", "Int64"), ("hi_micro", "Int64"))):
                 out[name] = pd.Series([got[i][k] for i in hit], dtype=kind)
             yield out
 
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, row_id, at])
+    types = {c: rows.schema[c].dataType.simpleString() for c in [*by, row_id, at]}
+    kept = ", ".join(f"`{c}` {types[c]}" for c in [*by, row_id, at])
+    read_ = "quantity string, base_unit string, number double, stated boolean, lo_micro bigint, hi_micro bigint"
     readings = cut(
         rows.select(*dict.fromkeys([*by, row_id, at, value, unit, quote]))
         .where(F.col(value).rlike(r"[\p{Nd}½¼¾⅓⅔⅛⅜⅝⅞]"))
-        .mapInPandas(number, f"{kept}, quantity string, base_unit string, number double, stated boolean")
+        .mapInPandas(number, f"{kept}, {read_}")
     )
-    seconds = F.coalesce(F.unix_micros(F.col(at)), F.lit(0))
-    sizes = readings.groupBy(*by).agg(F.count("*").alias("_n"), F.min(seconds).alias("_from"), F.max(seconds).alias("_to"), F.mode("quantity", True).alias("_quantity"), F.mode("base_unit", True).alias("_base"))
-    block = F.when(F.col("_n") <= window, 0).otherwise(F.floor((seconds - F.col("_from")) / F.greatest(F.lit(1), F.col("_to") - F.col("_from")) * F.ceil(F.col("_n") / window)).cast("int"))
-    # The sizes hold one row per history, so a hot history is joined by its few distinct keys, not sorted whole.
-    blocks = readings.join(sizes, by).withColumn("_block", block)
+    facts = ["base_unit", "value", "unit_shift", "stated", "lo_micro", "hi_micro"]
 
     def repair(b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        number, stated, quantity = b["number"].to_numpy(float), b["stated"].to_numpy(bool), b["_quantity"].to_numpy()
+        number, stated, quantity, base = b["number"].to_numpy(float), b["stated"].to_numpy(bool), b["quantity"].to_numpy(), b["base_unit"].to_numpy(object, copy=True)
         shift = np.ones(len(b))
         for i, j in zip(starts, [*starts[1:], len(b)]):
-            if j - i > 1 and not stated[i:j].all():
-                factors = np.array(sorted(logs.get(quantity[i], {1.0})))
-                shift[i:j] = undo_unit_changes(number[i:j], stated[i:j], factors, penalty, tolerance)
-        out = b[[*by, row_id]].reset_index(drop=True)
-        out["base_unit"] = b["_base"].to_numpy()
-        out["value"] = number * shift
-        out["unit_shift"] = shift
-        return out
+            if not stated[i:j].all():
+                base[i:j][~stated[i:j]] = _most(base[i:j])
+                if j - i > 1:
+                    shift[i:j] = np.where(stated[i:j], 1.0, undo_unit_changes(number[i:j], stated[i:j], logs.get(_most(quantity[i:j]), np.ones(1)), penalty, tolerance))
+        return b[[*by, row_id, "stated", "lo_micro", "hi_micro"]].assign(base_unit=base, value=number * shift, unit_shift=shift)[[*by, row_id, *facts]]
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, row_id]) + ", base_unit string, value double, unit_shift double, stated boolean, lo_micro bigint, hi_micro bigint"
+    # At most one history in `window` readings is long.
+    long_ = cut(readings.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > window))
+    many = long_.count()
+    if not many:
+        return map_groups(readings, by, [at, row_id], repair, schema)
+    marked = _beside(readings, F.broadcast(long_) if many <= 200_000 else long_, by, "left")
+    short = map_groups(marked.where("_n is null").drop("_n"), by, [at, row_id], repair, schema)
+    whole = _long_histories(marked.where("_n is not null").drop("_n"), types, by, row_id, at, logs, penalty, tolerance, window, margin)
+    return short.unionByName(whole.select(*by, row_id, *facts))
+
+
+def _most(values: np.ndarray) -> str | None:
+    """The most frequent text, ties going to the smallest; None where all are null."""
+    names, counts = np.unique([v for v in values if v is not None], return_counts=True)
+    return str(names[int(np.argmax(counts))]) if len(names) else None
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """`left` joined with `right` on the `by` columns, nulls being equal; of these the left's stay."""
+    other, same = right, F.lit(True)
+    for i, c in enumerate(by):
+        other, same = other.withColumnRenamed(c, f"_by{i}"), same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return left.join(other, same, how).drop(*[f"_by{i}" for i in range(len(by))])
+
+
+def _pieces(batches: Iterator[pd.DataFrame], by: list[str], window: int) -> Iterator[pd.DataFrame]:
+    """Sorted batches regrouped into pieces of one history, of at most `window` rows each."""
+    rest = None
+    for b in batches:
+        if not len(b):
+            continue
+        b = pd.concat([rest, b], ignore_index=True) if rest is not None else b.reset_index(drop=True)
+        begins = starts(b, by)
+        cuts = [c for i, j in zip(begins, [*begins[1:], len(b)]) for c in range(i, j, window)]
+        for i, j in zip(cuts, cuts[1:]):
+            yield b.iloc[i:j].reset_index(drop=True)
+        rest = b.iloc[cuts[-1] :]
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)
+
+
+def _joined(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, penalty: float, margin: int) -> np.ndarray:
+    """The position of the first item of each item's segment; the `margin` items at both ends stay apart."""
+    n = len(counts)
+    first, a = np.arange(n), 0
+    for b in _segment(counts, sums, squares, penalty):
+        first[a:b] = a
+        a = b
+    if margin:
+        inner = (np.arange(n) >= margin) & (np.arange(n) < n - margin)
+        first = np.where(inner, np.maximum(first, margin), np.arange(n))
+    return first
+
+
+def _long_histories(readings: DataFrame, types: dict[str, str], by: list[str], row_id: str, at: str, logs: dict, penalty: float, tolerance: float, window: int, margin: int) -> DataFrame:
+    """`unit_histories` of histories longer than a window; every task holds one piece at a time."""
+    n = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    margin = min(margin, window // 4)
+    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = TaskContext.get().partitionId() << 40
+        for b in _pieces(batches, by, window):
+            x = b["number"].to_numpy(float)
+            usable = np.isfinite(x) & (x > 0)
+            log = np.log(np.where(usable, x, 1.0))
+            first = np.full(len(b), -1, dtype=np.int64)
+            first[usable] = seen + np.flatnonzero(usable)[_joined(np.ones(usable.sum()), log[usable], log[usable] ** 2, penalty, margin)] if usable.any() else -1
+            seen += len(b)
+            yield b.drop(columns=[at]).assign(log=np.where(usable, log, np.nan), seg=first)
+
+    order = [*by, at, row_id]
+    placed = cut(readings.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(pieces, f"{keys}, `{row_id}` {types[row_id]}, quantity string, base_unit string, number double, stated boolean, lo_micro bigint, hi_micro bigint, log double, seg bigint"))
+    totals = (F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("said").alias("said"))
+    items = cut(placed.where("seg >= 0").select(*by, "seg", F.lit(1).alias("n"), F.col("log").alias("s"), (F.col("log") * F.col("log")).alias("q"), F.col("stated").cast("int").alias("said")).groupBy(*by, "seg").agg(*totals))
+    names, now = items.select("seg", F.col("seg").alias("at")), items.count()
+    item_schema = f"{keys}, seg bigint, n bigint, s double, q double, said bigint, first bigint"
+
+    def merged(parts: Iterator[pd.DataFrame], edge: int) -> Iterator[pd.DataFrame]:
+        for b in parts:
+            seg = b["seg"].to_numpy()
+            yield b.assign(first=seg[_joined(*(b[c].to_numpy(float) for c in ("n", "s", "q")), penalty, edge)])
+
+    def by_piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from merged(_pieces(batches, by, window), margin)
+
+    def by_history(b: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        return pd.concat(list(merged((b.iloc[i:j] for i, j in zip(first, [*first[1:], len(b)])), 0)), ignore_index=True)
+
+    while True:
+        fits = (items.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0) <= window
+        told = map_groups(items, by, ["seg"], by_history, item_schema) if fits else items.repartitionByRange(n, *by, "seg").sortWithinPartitions(*by, "seg").mapInPandas(by_piece, item_schema)
+        told = cut(told)
+        names = cut(names.join(told.select(F.col("seg").alias("at"), "first"), "at").select("seg", F.col("first").alias("at")))
+        items, before = cut(told.groupBy(*by, F.col("first").alias("seg")).agg(*totals)), now
+        now = items.count()
+        if fits or now > before // 2:
+            break
+    # From the history's first stated segment, else its longest, to both ends; a task streams the segments, one row each.
+    mid = F.col("s") / F.col("n")
+    start = items.groupBy(*by).agg(F.min(F.struct((F.col("said") == 0).alias("un"), F.when(F.col("said") > 0, F.col("seg")).otherwise(-F.col("n")).alias("o"), "seg", mid.alias("mid"))).alias("b"))
+    kind = placed.groupBy(*by).agg(F.mode("quantity", True).alias("kind"), F.mode("base_unit", True).alias("base"))
+    told = _beside(start, kind, by).select(*by, "b", "kind")
+    ways = _beside(items.withColumn("mid", mid), told, by).select(*by, "seg", "mid", "said", F.col("b.mid").alias("level"), (F.col("seg") < F.col("b.seg")).alias("back"), "kind")
+
+    def shifts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ratios, before, level = {q: log_ratios(f) for q, f in logs.items()}, None, 0.0
+        for b in _pieces(batches, [*by, "back"], window):
+            key = tuple(None if pd.isna(x) else x for x in b[[*by, "back"]].iloc[0])
+            if key != before:
+                before, level = key, b["level"].iloc[0]
+            got, level = settled(b["mid"].tolist(), b["said"].tolist(), level, ratios.get(b["kind"].iloc[0], np.zeros(1)), tolerance)
+            yield pd.DataFrame({"at": b["seg"], "shift": got})
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, row_id])
-    return map_groups(blocks, [*by, "_block"], [at, row_id], repair, f"{kinds}, base_unit string, value double, unit_shift double")
+    sorted_ = ways.repartition(*by, "back").withColumn("o", F.when(F.col("back"), -F.col("seg")).otherwise(F.col("seg"))).sortWithinPartitions(*by, "back", "o").drop("o")
+    shift = sorted_.mapInPandas(shifts, "at bigint, shift double").where("shift <> 1").join(names, "at").select("seg", "shift")
+    # A first segment holds one piece's readings at most, so the join back has no hot key; the histories' facts are few.
+    out = placed.join(shift, "seg", "left")
+    bases = kind.select(*by, "base")
+    factor = F.when(F.col("stated"), 1.0).otherwise(F.coalesce("shift", F.lit(1.0)))
+    told = _beside(out, F.broadcast(bases) if few_bytes(bases) else bases, by, "left")
+    return told.withColumns({"unit_shift": factor, "value": F.col("number") * factor, "base_unit": F.coalesce("base_unit", "base")})

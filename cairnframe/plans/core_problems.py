@@ -7,22 +7,26 @@ from pyspark.sql import functions as F
 
 from cairnframe.functions.text import instant
 from cairnframe.operators.pivot import filled_cells, wide_table
-from cairnframe.operators.units import read_quantities, unit_histories
+from cairnframe.operators.units import unit_histories
 from cairnframe.session import table
 
 #: The measured fields of the candidates: lengths, masses, times, temperatures, areas.
 MEASURED = ("area", "elevation", "mean_temperature", "altitude_m", "height", "lifespan", "min_temperature", "seed_mass", "spine_height", "weight", "loan_period")
 
 
+def p2_read(spark: SparkSession, root: str) -> DataFrame:
+    """Every measured reading of the candidates, brought to its base unit along the history of its subject and field."""
+    rows = table(spark, root, "candidates").where(F.col("field").isin(*MEASURED)).withColumn("at", instant(F.col("fetched_at")))
+    return unit_histories(rows, table(spark, root, "ref_units"), ["subject_id", "field"])
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "candidates").where(F.col("field").isin(*MEASURED))
-    read = read_quantities(rows, table(spark, root, "ref_units"), ["candidate_id"])
-    return read.select("candidate_id", "base_unit", "lo_micro", "hi_micro")
+    """The readings that state a unit; what a row states stands, whatever its history says."""
+    return p2_read(spark, root).where("stated").select("candidate_id", "base_unit", "lo_micro", "hi_micro")
 
 
 def p2_histories(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "candidates").where(F.col("field").isin(*MEASURED)).withColumn("at", instant(F.col("fetched_at")))
-    return unit_histories(rows, table(spark, root, "ref_units"), ["subject_id", "field"])
+    return p2_read(spark, root).select("subject_id", "field", "candidate_id", "base_unit", "value", "unit_shift")
 
 
 def field_specs(spark: SparkSession, root: str) -> list[tuple[str, str, bool]]:

@@ -4,6 +4,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from cairnframe.functions.quantity import Units
+from cairnframe.operators import units
 from cairnframe.operators.units import changepoints, read_quantities, undo_unit_changes, unit_histories
 
 TABLE = [("length", "m", "m", 1.0, 0.0), ("length", "km", "m", 1000.0, 0.0), ("length", "ft", "m", 0.3048, 0.0), ("length", "in", "m", 0.0254, 0.0), ("length", '"', "m", 0.0254, 0.0), ("length", "'", "m", 0.3048, 0.0), ("area", "km2", "ha", 100.0, 0.0), ("area", "sq mi", "ha", 258.9988110336, 0.0), ("temperature", "°f", "c", 5 / 9, -160 / 9), ("mass", "lb", "kg", 0.45359237, 0.0), ("mass", "oz", "kg", 0.028349523125, 0.0), ("time", "years", "d", 365.25, 0.0), ("time", "months", "d", 30.4375, 0.0)]
@@ -53,11 +54,11 @@ def test_grouped_digits_read_as_plain(n, unit):
 
 
 def test_read_quantities_rows(spark):
-    units = spark.createDataFrame(TABLE, "quantity string, unit string, base_unit string, factor double, unit_offset double")
+    table = spark.createDataFrame(TABLE, "quantity string, unit string, base_unit string, factor double, unit_offset double")
     rows = spark.createDataFrame([(1, "2 km", None, None, "x"), (1, "2 km", None, None, "x"), (2, None, None, None, "x"), (3, "x" * 100000, "m", None, "x"), (None, "1", "m", None, "x")], "candidate_id bigint, raw_value string, unit string, quote string, lo_micro string")
-    got = sorted((r.candidate_id or 0, r.base_unit, r.lo_micro) for r in read_quantities(rows, units, ["candidate_id"]).collect())
+    got = sorted((r.candidate_id or 0, r.base_unit, r.lo_micro) for r in read_quantities(rows, table, ["candidate_id"]).collect())
     assert got == [(0, "m", 1000000), (1, "m", 2000000000), (1, "m", 2000000000)]
-    assert read_quantities(rows.limit(0), units, ["candidate_id"]).count() == 0
+    assert read_quantities(rows.limit(0), table, ["candidate_id"]).count() == 0
 
 
 def _cost(x, ends, penalty):
@@ -86,11 +87,39 @@ def test_unit_change_is_undone():
 
 
 def test_histories(spark):
-    units = spark.createDataFrame(TABLE, "quantity string, unit string, base_unit string, factor double, unit_offset double")
+    table = spark.createDataFrame(TABLE, "quantity string, unit string, base_unit string, factor double, unit_offset double")
     data = [(i, 1, "height", f"{100 + i % 3} m", None, None) for i in range(6)] + [(9, 1, "height", "0.1", None, None), (10, 2, "height", "5", None, None), (11, 3, "height", None, None, None)]
     rows = spark.createDataFrame(data, "candidate_id bigint, subject_id bigint, field string, raw_value string, unit string, quote string").selectExpr("*", "timestamp_seconds(candidate_id) as at")
-    got = {r.candidate_id: r for r in unit_histories(rows, units, ["subject_id", "field"]).collect()}
+    got = {r.candidate_id: r for r in unit_histories(rows, table, ["subject_id", "field"]).collect()}
     assert abs(got[9]["value"] - 100) < 1e-6 and got[9]["unit_shift"] == pytest.approx(1000)
     assert got[0]["unit_shift"] == 1 and got[10]["base_unit"] is None and 11 not in got
-    blocks = unit_histories(rows, units, ["subject_id", "field"], window=3)
-    assert blocks.count() == len(got)
+    assert got[0].stated and got[0].lo_micro == 100_000_000 and not got[9].stated and got[9].lo_micro is None
+    assert unit_histories(rows.limit(0), table, ["subject_id", "field"]).count() == 0
+
+
+@pytest.mark.parametrize("timed", [True, False])
+def test_pieces_of_a_long_history(spark, timed):
+    # The unit is stated in the first hundred readings only; the last third is in feet, with a real change before it.
+    rng = np.random.default_rng(5)
+    n, data = 3000, []
+    for i in range(n):
+        v = (100.0 if i < 1200 else 260.0) * float(np.exp(rng.normal(0, 0.02))) * (1 / 0.3048 if i >= 2000 else 1)
+        data.append((i, 1, f"{v:.5f}" + (" m" if i < 100 else "")))
+    data += [(n + i, 2 + i % 3, f"{5 + i % 4} m") for i in range(60)]
+    table = spark.createDataFrame(TABLE + [("length", "ft", "m", 0.3048, 0.0)], "quantity string, unit string, base_unit string, factor double, unit_offset double").distinct()
+    rows = spark.createDataFrame(data, "candidate_id bigint, subject_id bigint, raw_value string").selectExpr("*", "'f' as field", "string(null) as unit", "string(null) as quote", "timestamp_seconds(candidate_id) as at" if timed else "timestamp(null) as at")
+    read = lambda **k: {r.candidate_id: (r.base_unit, round(r.value, 6), r.stated) for r in unit_histories(rows, table, ["subject_id", "field"], **k).collect()}
+    whole = read(window=10**6)
+    assert sum(abs(np.log(v / (100 if i < 1200 else 260))) > 0.2 for i, (_, v, _) in whole.items() if i < n) == 0
+    assert all(b == "m" for b, _, _ in whole.values())
+    for window in (100, 257, 1024):
+        assert read(window=window, margin=24) == whole
+
+
+def test_weighted_items_like_values():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(m, 0.1, 30) for m in (0, 2, 2.5, 0)])
+    assert changepoints(x, 0.5) == [30, 60, 90, 120]
+    size = np.array([10] * 12)
+    sums, squares = x.reshape(12, 10).sum(1), (x**2).reshape(12, 10).sum(1)
+    assert units._segment(size, sums, squares, 0.5) == [3, 6, 9, 12]
