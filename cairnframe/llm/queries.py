@@ -68,7 +68,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_blocks(spark: SparkSession, root: str) -> DataFrame:
-    return site_lines.repeated_blocks(table(spark, root, "pages"))
+    return site_lines.repeated_blocks(table(spark, root, "pages")).drop("line_nos")
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
@@ -93,6 +93,12 @@ _RECORDS = f"""with p as (select page_id, landed_at, coalesce({_BARE('title')},
         k as (select page_id, landed_at, t, case when regexp_matches(text, '(?s)^\\s*[^:;|\\n]{{1,40}}:\\s[^;|\\n]*(?:\\s*[;|\\n•·]\\s*[^:;|\\n]{{1,40}}:\\s[^;|\\n]*)+[;|\\n]?\\s*$')
         then '=' || array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(text, '\\s*[;|\\n•·]+\\s*'), lambda x: {_BARE('x')}), lambda x: x <> '')), chr(31)) else b end as k from p where b <> '')"""
 
+#: Lines that hold words, by position among these, and those that stand on eight pages of their domain.
+_LINES = """with l as (select page_id, domain, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from pages where text is not null and domain is not null),
+        t as (select page_id, domain, line_no, trim(regexp_replace(lower(upper(line)), '[^\\p{L}\\p{M}\\p{Nd}]+', ' ', 'g')) as words from l),
+        w as (select *, row_number() over (partition by page_id order by line_no) as k from t where words <> ''),
+        r as (select domain, words from w group by 1, 2 having count(distinct page_id) >= 8)"""
+
 #: SQL for the queries that SQL can state; the others are tested against brute force, round trips and the public library.
 ORACLES: dict[str, str] = {
     "p6_found": f"""with c as (select *, raw_value is null or lower(trim(regexp_replace(raw_value, '{_BLANKS}', ' ', 'g'))) in ({_MISSING}) as missing,
@@ -103,7 +109,14 @@ ORACLES: dict[str, str] = {
     "p4_found": f"""{_RECORDS} select a.page_id as page_a, b.page_id as page_b from k a join k b on a.t = b.t and a.k = b.k and a.page_id < b.page_id""",
     "p4_ledger": f"""{_RECORDS} select md5(t || chr(30) || k) as key, count(*) as copies, arg_min(page_id, (landed_at is null, landed_at, page_id)) as page_id, min(landed_at) as first_at from k group by t, k""",
     "p4_members": f"""{_RECORDS} select page_id, first_value(page_id) over (partition by t, k order by landed_at nulls last, page_id) as representative, count(*) over (partition by t, k) as copies from k""",
-    "p7_found": """with l as (select page_id, domain, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from pages where text is not null and domain is not null),
-        w as (select page_id, domain, line_no, trim(regexp_replace(lower(upper(line)), '[^\\p{L}\\p{M}\\p{Nd}]+', ' ', 'g')) as words from l),
-        r as (select domain, words from w where words <> '' group by 1, 2 having count(distinct page_id) >= 8) select page_id, line_no::bigint as line_no from w join r using (domain, words)""",
+    "p7_found": f"""{_LINES} select page_id, line_no::bigint as line_no from w join r using (domain, words)""",
+    # Every part of every run of neighbouring repeated lines is counted; the longest at each position stays unless it lies inside one begun earlier.
+    "p7_blocks": f"""{_LINES}, x as (select w.page_id, domain, w.k, line_no, words, w.k - row_number() over (partition by w.page_id order by w.k) as run from w join r using (domain, words)),
+        s as (select page_id, domain, run, list(words order by k) as ws, list(line_no order by k) as nos from x group by all),
+        p as (select page_id, domain, run, ws, nos, i, unnest(range(1, len(ws) - i + 2)) as n from (select *, unnest(range(1, len(ws) + 1)) as i from s)),
+        b as (select page_id, run, i, n, nos[i] as first_line, domain || chr(31) || array_to_string(ws[i : i + n - 1], chr(30)) as block from p),
+        c as (select block, n from b group by 1, 2 having count(distinct page_id) >= 8),
+        m as (select page_id, run, i, first_line, max(n) as lines from b join c using (block, n) group by 1, 2, 3, 4),
+        e as (select *, max(i + lines) over (partition by page_id, run order by i rows between unbounded preceding and 1 preceding) as reach from m)
+        select page_id, first_line, lines::int as lines from e where reach is null or reach < i + lines""",
 }

@@ -58,11 +58,49 @@ def test_repeated_lines_like_brute_force(spark):
     assert site_lines.repeated_lines(pages.limit(0)).count() == 0
 
 
+def _blocks_by_brute_force(rows, least):
+    docs, count = {}, {}
+    for p, d, *_, t, _ in rows:
+        if t and d:
+            docs[p] = (d, [(n, w) for n, line in enumerate(t.split("\n"), 1) if (w := " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split()))])
+    for p, (d, lines) in docs.items():
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                count.setdefault((d, *(w for _, w in lines[i:j])), set()).add(p)
+    out = set()
+    for p, (d, lines) in docs.items():
+        reach = 0
+        for i in range(len(lines)):
+            n = max((j - i for j in range(i + 1, len(lines) + 1) if len(count[d, *(w for _, w in lines[i:j])]) >= least), default=0)
+            if n and i + n > reach:
+                reach = i + n
+                out.add((p, lines[i][0], n))
+    return out
+
+
+def test_blocks_like_brute_force(spark):
+    rng = random.Random(7)
+    long_ = [f"notice {i}" for i in range(23)]
+    rows = []
+    for i in range(90):
+        lines = [rng.choice(["alpha", "Beta!", "gamma", "", "…", f"own {i}"]) for _ in range(rng.randrange(12))]
+        if i % 3 == 0:
+            at, a = rng.randrange(len(lines) + 1), rng.randrange(4)
+            lines[at:at] = long_[a : 23 - rng.randrange(4)] * (1 + i % 2)
+        rows.append((i, rng.choice(["a"] * 9 + ["b", None]), None, None, rng.choice(["\n".join(lines)] * 9 + [None]), None))
+    rows += rows[:3]
+    pages = spark.createDataFrame(rows, PAGE).selectExpr("*", "1 as k", "'x' as v", "2 as h", "3 as documents")
+    for least in (3, 8):
+        got = {(r.page_id, r.first_line, r.lines) for r in site_lines.repeated_blocks(pages, least).collect()}
+        want = _blocks_by_brute_force(rows, least)
+        assert got == want and max(n for _, _, n in want) > 16
+
+
 def test_blocks_and_deletion(spark):
     rows = [(i, "a", None, None, f"x{i}\nn1\nn2\nn3\nn4\ny{i}", None) for i in range(9)]
     pages = spark.createDataFrame(rows, PAGE)
     blocks = site_lines.repeated_blocks(pages).collect()
-    assert {(b.first_line, b.lines, b.documents) for b in blocks} == {(2, 4, 9)}
+    assert {(b.first_line, b.lines, *b.line_nos) for b in blocks} == {(2, 4, 2, 3, 4, 5)}
     left = site_lines.without_lines(pages, site_lines.repeated_lines(pages)).collect()
     assert {r.text for r in left} == {f"x{i}\ny{i}" for i in range(9)}
 
