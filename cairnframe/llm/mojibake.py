@@ -1,12 +1,12 @@
 """Text decoded with the wrong character encoding: found, and restored where nothing was lost.
 
-Adjacent characters are scored by the corpus: the mutual information of their classes, counted
-over all documents. A class is a script or kind of sign with its case; runs that some encoding
-inverts are left out of the counts, so that garbling, which repeats the same characters again and
-again, cannot make its own pairs look natural. Runs of improbable pairs are isolated as
-maximum-scoring segments, and inverse mappings, strict byte for byte, are tested inside those
-runs; a mapping stands where it makes the run and its surroundings more probable, and is then
-tried on the other foreign runs of the same text too.
+Adjacent characters are scored by the corpus: the pointwise mutual information of the pair,
+counted over all documents. Pairs inside runs that read as UTF-8 in some encoding are left out of
+the counts, so that garbling, which repeats the same characters again and again, cannot make its
+own pairs look natural. Improbable runs are isolated as maximum-scoring segments of the pairs'
+improbability, and inverse mappings, strict byte for byte, are tested inside those runs only. A
+mapping stands where it makes the run and its surroundings more probable, by the surprise of
+character classes (scripts and kinds of signs with their case), which the corpus also counts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,14 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encodings that text is wrongly decoded with, in order of preference where several fit alike.
-ENCODINGS = ("cp1252", "latin_1", "mac_roman", "cp1251", "cp437", "cp850", "iso8859_15", "cp1250", "iso8859_2", "cp1254", "cp1257", "koi8_r", "cp1253", "cp866", "cp852", "iso8859_5", "cp1256", "cp1255", "cp858", "mac_cyrillic", "gbk", "big5", "shift_jis")
+#: Single-byte encodings that text is wrongly decoded with, in order of preference where several fit alike.
+ENCODINGS = ("cp1252", "latin_1", "mac_roman", "cp1251", "cp437", "cp850", "iso8859_15", "cp1250", "iso8859_2", "cp1254", "cp1257", "koi8_r", "cp1253", "cp866", "cp852", "iso8859_5", "cp1256", "cp1255", "cp858", "mac_cyrillic")
+#: Encodings of two bytes a character, for runs that hold East Asian characters.
+WIDE = ("gbk", "big5", "shift_jis")
 #: Single-byte encodings that are taken for one another: what the text was read as, and what it was.
 READ_AS = ("cp1252", "latin_1", "mac_roman", "cp1251", "cp1250", "koi8_r", "cp437", "cp850")
 WAS = ("cp1250", "cp1251", "cp1252", "iso8859_2", "koi8_r", "iso8859_5", "cp1253", "cp1254", "cp1257", "mac_roman", "cp850", "cp437", "cp866", "mac_cyrillic")
 CLASSES = 64
-#: Buckets of the hashed counts of character pairs.
-BUCKETS = 1 << 16
+#: Buckets of the hashed counts of character pairs and of characters.
+BUCKETS, SIGNS = 1 << 18, 1 << 16
 REPLACED = "�"
 
 
@@ -45,12 +48,13 @@ def _tables() -> dict[str, dict[str, int]]:
                 c = chr(b)
             if len(c) == 1 and ord(c) > 0x7F:
                 table.setdefault(c, b)
-        if len(table) > 100:
-            out[name] = table
+        out[name] = table
     return out
 
 
 TABLES = _tables()
+#: Characters that some encoding takes for the first byte of a character of two bytes or more.
+LEADS = frozenset(c for table in TABLES.values() for c, b in table.items() if 0xC2 <= b <= 0xF4)
 FOREIGN = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -73,121 +77,151 @@ def kind(c: str) -> int:
 
 
 def _bucket(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return ((x.astype(np.uint64) * np.uint64(0x9E3779B1) + y.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(BUCKETS)
+    return (((x.astype(np.uint64) * np.uint64(0x9E3779B1) + y.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def pair_counts(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all documents of adjacent class pairs, 64 × 64, and of character pairs beyond ASCII, hashed to 65,536 buckets.
+@dataclass(frozen=True)
+class Counts:
+    """What the corpus tells: class pairs (64 × 64), and character pairs beyond ASCII and their characters, hashed."""
 
-    Both sizes are fixed, whatever the corpus, so they come to the driver. Every partition sends
-    its sums; null texts count nothing, invertible runs only in the character pairs.
+    classes: np.ndarray
+    pairs: np.ndarray
+    signs: np.ndarray
+
+
+def pair_counts(documents: DataFrame, text: str = "text") -> Counts:
+    """Counts over all documents of adjacent characters, those of runs that some encoding inverts left out.
+
+    The sizes are fixed, whatever the corpus (331,776 numbers), so they come to the driver. Every
+    partition sends its sums; null texts count nothing.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, hashed = np.zeros(CLASSES * CLASSES, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        sums = np.zeros(CLASSES * CLASSES + BUCKETS + SIGNS, dtype=np.int64)
         known = np.full(0x110000, -1, dtype=np.int8)
         for b in batches:
-            for t in b[text]:
-                codes = _codes(t)
-                if len(codes) < 2:
-                    continue
-                if not t.isascii():
-                    x, y = codes[:-1], codes[1:]
-                    foreign = (x > 127) | (y > 127)
-                    hashed += np.bincount(_bucket(x[foreign], y[foreign]).astype(np.int64), minlength=BUCKETS)
-                for c in np.unique(codes[known[codes] < 0]):
-                    known[c] = kind(chr(c))
-                classes = known[codes].astype(np.int64)
-                pairs = classes[:-1] * CLASSES + classes[1:]
-                if not t.isascii() and (inverted := [f.span() for f in FOREIGN.finditer(t) if f.end() - f.start() > 1 and invertible(f[0])]):
-                    natural = np.ones(len(pairs), dtype=bool)
-                    for a, b in inverted:
-                        natural[max(0, a - 1) : b] = False
-                    pairs = pairs[natural]
-                total += np.bincount(pairs, minlength=CLASSES * CLASSES)
-        both = np.concatenate([total, hashed])
-        at = np.flatnonzero(both)
-        yield pd.DataFrame({"pair": at, "n": both[at]})
-
-    sums = documents.where(F.col(text).isNotNull()).select(text).mapInPandas(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    out = np.zeros(CLASSES * CLASSES + BUCKETS)
-    for r in sums.collect():
-        out[r["pair"]] = r["n"]
-    return out[: CLASSES * CLASSES].reshape(CLASSES, CLASSES), out[CLASSES * CLASSES :]
+            codes = _codes(whole := "\n".join(b[text]))
+            if len(codes) < 2:
+                continue
+            for c in np.unique(codes[known[codes] < 0]):
+                known[c] = kind(chr(c))
+            natural = np.ones(len(codes) - 1, dtype=bool)
+            for f in FOREIGN.finditer(whole):
+                if inverses(f[0]):
+                    natural[max(0, f.start() - 1) : f.end()] = False
+            classes = known[codes].astype(np.int64)
+            sums[: CLASSES * CLASSES] += np.bincount((classes[:-1] * CLASSES + classes[1:])[natural], minlength=CLASSES * CLASSES)
+            foreign = natural & ((codes[:-1] > 127) | (codes[1:] > 127))
+            x, y = codes[:-1][foreign], codes[1:][foreign]
+            sums[CLASSES * CLASSES : -SIGNS] += np.bincount(_bucket(x, y), minlength=BUCKETS)
+            # Each pair counts both of its characters, so the shares of characters are those among such pairs.
+            sums[-SIGNS:] += np.bincount(x % SIGNS, minlength=SIGNS) + np.bincount(y % SIGNS, minlength=SIGNS)
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"cell": at, "n": sums[at]})
+
+    total = documents.where(F.col(text).isNotNull()).select(text).mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(CLASSES * CLASSES + BUCKETS + SIGNS)
+    for r in total.collect():
+        out[r["cell"]] = r["n"]
+    return Counts(out[: CLASSES * CLASSES].reshape(CLASSES, CLASSES), out[CLASSES * CLASSES : -SIGNS], out[-SIGNS:])
 
 
 class Scores:
-    """Class-pair tables out of corpus counts.
+    """Tables of pairs out of corpus counts.
 
-    `surprise` is −ln P(next | class), smoothed; `odd` scores a pair above 0 if its pointwise
-    mutual information is clearly negative or the pair is next to unknown. Pairs of plain ASCII
-    never are. `rarity` is −ln of a character pair's share of all pairs beyond ASCII.
+    `odd` of two adjacent characters is above 0 if their mutual information is low: the less often
+    than expected they meet, the higher, and `novel` more for pairs whose share of all is below
+    `rare`, which by themselves tell nothing of dependence. Pairs of plain ASCII never are odd.
+    `surprise` is −ln P(next | class), smoothed; `rarity` −ln of a pair's share.
     """
 
-    def __init__(self, counts: np.ndarray, pairs: np.ndarray, margin: float = 1.0, rare: float = 7.0):
-        share = (pairs + 0.5) / (pairs.sum() + BUCKETS / 2)
+    def __init__(self, counts: Counts, margin: float = 1.0, novel: float = 2.0, rare: float = 2e-6):
+        self.pairs, self.total = counts.pairs, counts.pairs.sum() + 1
+        share = (counts.pairs + 0.5) / (self.total + BUCKETS / 2)
         self.rarity = -np.log(share)
         self.usual = float((share * self.rarity).sum())
-        total, left, right = counts.sum() + 1, counts.sum(1), counts.sum(0)
-        self.surprise = -np.log((counts + 0.5) / (left[:, None] + CLASSES / 2))
+        self.log_pairs = np.log(counts.pairs + 0.5)
+        self.signs = counts.signs / 2
+        self.margin = margin
+        self.bonus = np.where(counts.pairs < 1 + rare * self.total, novel, 0.0)
+        classes = counts.classes
+        total, left, right = classes.sum() + 1, classes.sum(1), classes.sum(0)
+        self.surprise = -np.log((classes + 0.5) / (left[:, None] + CLASSES / 2))
         # A class that the corpus never shows is as surprising as one character in all of it.
         self.surprise[:, right == 0] = np.maximum(self.surprise[:, right == 0], math.log(total + CLASSES))
         self.surprise[left == 0, :] = np.maximum(self.surprise[left == 0, :], math.log(total + CLASSES))
-        information = np.log((counts + 0.5) / (left[:, None] * right[None, :] / total + 0.5))
-        self.odd = np.maximum(-information - margin, self.surprise - rare)
-        self.odd[:6, :6] = -4.0
-        # Words recur, so a run's score is remembered with its neighbours.
-        self.best_segment = lru_cache(maxsize=1 << 16)(self._best_segment)
-
-    def _best_segment(self, text: str) -> float:
-        """The score of the best segment of adjacent pairs, in one linear sweep."""
-        classes = [kind(c) for c in text]
-        best = here = 0.0
-        for x, y in zip(classes, classes[1:]):
-            here = max(0.0, here + self.odd[x, y])
-            best = max(best, here)
-        return best
+
+    def odd(self, codes: np.ndarray) -> np.ndarray:
+        """The improbability of each pair of adjacent characters."""
+        x, y = codes[:-1], codes[1:]
+        out = np.full(len(x), -4.0)
+        at = np.flatnonzero((x > 127) | (y > 127))
+        x, y = x[at], y[at]
+        cell = _bucket(x, y)
+        expected = self.signs[x % SIGNS] * self.signs[y % SIGNS] / self.total
+        out[at] = np.log(expected + 0.5) - self.log_pairs[cell] - self.margin + self.bonus[cell]
+        return out
 
     def cost(self, classes: list[int]) -> float:
         return sum(self.surprise[x, y] for x, y in zip(classes, classes[1:]))
 
 
-def segments(text: str, scores: Scores) -> list[tuple[int, int]]:
-    """(start, end) of each run of foreign characters that holds a segment scoring above its bar.
-
-    Over the pairs of a run and its two neighbours the maximum-scoring segment is found in one
-    linear sweep. The bar is 0; runs that some encoding inverts, which hardly happens by chance,
-    are tested whatever they score.
-    """
-    out = []
-    for found in FOREIGN.finditer(text):
-        a, b = found.span()
-        if b - a > 1 and invertible(found[0]):
-            out.append((a, b))
+def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
+    """[start, end) of the maximum-scoring segments: each of positive sum, none extensible without loss, in one sweep (Ruzzo–Tompa)."""
+    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum through
+    total = 0.0
+    for i, s in enumerate(scores):
+        before, total = total, total + s
+        if s <= 0:
             continue
-        if scores.best_segment(text[max(0, a - 1) : b + 1]) > 0:
-            out.append((a, b))
-    return out
+        start, low = i, before
+        while stack:
+            j = len(stack) - 1
+            while j >= 0 and stack[j][2] >= low:
+                j -= 1
+            if j < 0 or stack[j][3] >= total:
+                break
+            start, low = stack[j][0], stack[j][2]
+            del stack[j:]
+        stack.append((start, i + 1, low, total))
+    return [(a, b) for a, b, _, _ in stack]
+
+
+def segments(text: str, scores: Scores, odd: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(start, end) of each run of foreign characters that a maximum-scoring segment of the text's pairs touches."""
+    odd = scores.odd(_codes(text)) if odd is None else odd
+    if not (odd > 0).any():
+        return []
+    # Pair i joins characters i and i + 1; a stretch without positive pairs needs no sweep.
+    touched = np.zeros(len(text), dtype=bool)
+    breaks = np.flatnonzero(odd == -4.0)
+    for a, b in zip([0, *(breaks + 1)], [*breaks, len(odd)]):
+        if b > a and (odd[a:b] > 0).any():
+            for i, j in maximal_segments(odd[a:b].tolist()):
+                touched[a + i : a + j + 1] = True
+    return [f.span() for f in FOREIGN.finditer(text) if touched[f.start() : f.end()].any()]
 
 
-@lru_cache(maxsize=1 << 15)
 def invert(run: str, encoding: str) -> str | None:
     """The text whose UTF-8 bytes were read as `run` in `encoding`, or None if there is none."""
-    table = TABLES[encoding]
     try:
+        if encoding in WIDE:
+            return run.encode(encoding).decode("utf-8")
+        table = TABLES[encoding]
         return bytes([table[c] for c in run]).decode("utf-8")
-    except (KeyError, UnicodeDecodeError):
+    except (KeyError, UnicodeError):
         return None
 
 
-@lru_cache(maxsize=1 << 15)
-def invertible(run: str) -> bool:
-    """Whether some encoding inverts a run of foreign characters."""
-    return any(invert(run, name) is not None for name in TABLES)
+@lru_cache(maxsize=1 << 16)
+def inverses(run: str) -> tuple[tuple[str, str], ...]:
+    """(encoding, text) for each encoding that inverts a run of foreign characters."""
+    tried = (ENCODINGS if run[0] in LEADS and len(run) > 1 else ()) + (WIDE if any(c >= "\u2e80" for c in run) else ())
+    return tuple((name, text) for name in tried if (text := invert(run, name)) is not None and text != run)
 
 
 @lru_cache(maxsize=256)
@@ -201,7 +235,7 @@ def _rarities(text: str, scores: Scores) -> tuple[float, int]:
     codes = _codes(text)
     x, y = codes[:-1], codes[1:]
     foreign = (x > 127) | (y > 127)
-    return float(scores.rarity[_bucket(x[foreign], y[foreign]).astype(np.int64)].sum()), int(foreign.sum())
+    return float(scores.rarity[_bucket(x[foreign], y[foreign])].sum()), int(foreign.sum())
 
 
 def reread(text: str, scores: Scores) -> str | None:
@@ -229,48 +263,48 @@ def reread(text: str, scores: Scores) -> str | None:
     return best
 
 
-def _gain(text: str, a: int, b: int, name: str, scores: Scores) -> tuple[float, str]:
-    """How much more probable the run [a, b) gets with its neighbours when `name` is undone, and what it gets to be.
+def _gains(text: str, a: int, b: int, scores: Scores) -> dict[str, tuple[float, str]]:
+    """By encoding, how much more probable the run [a, b) gets with its neighbours when it is undone, and what it gets to be.
 
-    A run garbled several times is followed through its stages, which need not look natural.
+    A run garbled several times is followed through its stages, which need not look natural; each
+    is shorter than the one before, so there is a last.
     """
     before, after, run = text[max(0, a - 1) : a], text[b : b + 1], text[a:b]
-    cost = scores.cost([kind(c) for c in text[max(0, a - 1) : b + 1]])
-    best = (0.0, "")
-    for _ in range(3):
-        run = invert(run, name)
-        if run is None:
-            break
-        best = max(best, (cost - scores.cost([kind(c) for c in before + run + after]), run))
-    return best
+    out: dict[str, tuple[float, str]] = {}
+    cost = None
+    for name, now in inverses(run):
+        cost = scores.cost([kind(c) for c in before + run + after]) if cost is None else cost
+        while now is not None:
+            gain = cost - scores.cost([kind(c) for c in before + now + after])
+            if gain > out.get(name, (0.0, ""))[0]:
+                out[name] = gain, now
+            now = invert(now, name) if not now.isascii() else None
+    return out
 
 
-def restore(text: str, scores: Scores) -> tuple[str, bool]:
+def restore(text: str, scores: Scores, odd: np.ndarray | None = None) -> tuple[str, bool]:
     """The text with garbled runs restored, repeatedly for text that was garbled more than once, and whether any was.
 
-    Of each improbable run every inverse mapping is tried; it fits if the inverse with its
+    Of each isolated run every inverse mapping is tried; it fits if the inverse with its
     neighbours is more probable than the run with its own. The encoding of most gain over the
-    whole text restores its runs; ties go to the first of `ENCODINGS`.
+    isolated runs restores those that it fits; ties go to the first of `ENCODINGS`. Every round
+    shortens the text, so there is a last.
     """
     changed = False
-    for _ in range(4):
-        runs = segments(text, scores)
-        if not runs:
-            break
-        gains = dict.fromkeys(TABLES, 0.0)
+    while runs := segments(text, scores, odd):
+        odd, fits, total = None, [], {}
         for a, b in runs:
-            if invertible(text[a:b]):
-                for name in TABLES:
-                    gains[name] += max(0.0, _gain(text, a, b, name, scores)[0])
-        name = max(TABLES, key=lambda n: gains[n])
-        if gains[name] <= 0:
+            if gains := _gains(text, a, b, scores):
+                fits.append((a, b, gains))
+                for name, (gain, _) in gains.items():
+                    total[name] = total.get(name, 0.0) + gain
+        if not fits:
             break
+        name = max(total, key=lambda n: (total[n], -_ORDER[n]))
         out, at = [], 0
-        for found in FOREIGN.finditer(text):
-            a, b = found.span()
-            gain, fixed = _gain(text, a, b, name, scores) if b - a > 1 else (0.0, "")
-            if gain > 0:
-                out += [text[at:a], fixed]
+        for a, b, gains in fits:
+            if name in gains:
+                out += [text[at:a], gains[name][1]]
                 at = b
         text, changed = "".join(out) + text[at:], True
     if not changed and (fixed := reread(text, scores)) is not None:
@@ -278,21 +312,24 @@ def restore(text: str, scores: Scores) -> tuple[str, bool]:
     return text, changed
 
 
+_ORDER = {name: i for i, name in enumerate(ENCODINGS + WIDE)}
+
+
 def repaired(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(`doc`, `restored`, `lost`) of each garbled document; `restored` is null where characters are lost.
 
-    Two passes: the corpus counts (69,632 numbers, whatever the corpus), then one narrow pass that scores, isolates and inverts. Null and empty texts are never garbled. A text
-    with U+FFFD has lost characters.
+    Two passes: the corpus counts, then one narrow pass that scores whole batches at once,
+    isolates and inverts. Null and empty texts are never garbled. A text with U+FFFD has lost
+    characters.
     """
-    counts = pair_counts(documents, text)
+    counts = documents.sparkSession.sparkContext.broadcast(pair_counts(documents, text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = Scores(*counts)
+        scores = Scores(counts.value)
         for b in batches:
             rows = []
-            for i, t in zip(b[doc], b[text]):
-                if t.isascii():
-                    continue
+            foreign = b[[not t.isascii() for t in b[text]]]
+            for i, t in zip(foreign[doc], foreign[text]):
                 fixed, changed = restore(t, scores)
                 if REPLACED in fixed:
                     rows.append((i, None, True))

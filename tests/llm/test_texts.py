@@ -2,6 +2,7 @@ import base64
 import hashlib
 import os
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,3 +110,52 @@ def test_restores(spark):
     hashes = {r.doc_id: r.restored_hash for r in mojibake.restored_hashes(mojibake.repaired(df)).collect()}
     assert hashes[2001] == "" and hashes[2000] == hashlib.sha256(CLEAN[0].encode()).hexdigest()[:32]
     assert mojibake.repaired(df.limit(0)).count() == 0
+
+
+def _natural(n=400):
+    return pd.DataFrame({"text": [CLEAN[i % len(CLEAN)] + f" {i}" for i in range(n)]})
+
+
+def _scores(spark, texts):
+    return mojibake.Scores(mojibake.pair_counts(spark.createDataFrame(texts)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([-4.0, -2.0, -1.0, -0.5, 0.5, 1.0, 3.0]), max_size=9))
+def test_maximal_segments_like_brute_force(x):
+    # Of the segments of largest sum the shortest, then the same to its left and right.
+    def split(a, b):
+        best = max((sum(x[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)) if b > a else (0, 0, 0)
+        if best[0] <= 0:
+            return []
+        i, j = -best[2], -best[2] - best[1]
+        return [*split(a, i), (i, j), *split(j, b)]
+
+    assert mojibake.maximal_segments(x) == split(0, len(x))
+
+
+def test_only_isolated_runs_are_tested(spark):
+    scores = _scores(spark, _natural())
+    good = "L’été à près de 3 °C. NÃO MENCIONA"
+    bad = _sloppy("São Berim – żółć".encode(), "cp1252")
+    text = good + " " + bad
+    runs, every = mojibake.segments(text, scores), [f.span() for f in mojibake.FOREIGN.finditer(text)]
+    assert {f for f in every if f[0] >= len(good)} <= set(runs) < set(every)
+    assert mojibake.restore(text, scores) == (good + " São Berim – żółć", True)
+    # Where no run is isolated nothing is tested, though mappings would fit.
+    class Blind(mojibake.Scores):
+        def odd(self, codes):
+            return super().odd(codes) * 0 - 1.0
+
+    assert mojibake.restore(text, Blind(mojibake.pair_counts(spark.createDataFrame(_natural())))) == (text, False)
+
+
+def test_encodings_of_two_bytes(spark):
+    scores = _scores(spark, _natural())
+    for name in mojibake.WIDE:
+        for word in ("größte", "Почва", "żółć", "é"):
+            try:
+                bad = word.encode().decode(name)
+            except UnicodeError:
+                continue
+            assert mojibake.restore(f"wo {bad} wo", scores) == (f"wo {word} wo", True), (name, word)
