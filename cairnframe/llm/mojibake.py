@@ -34,6 +34,8 @@ CLASSES = 64
 #: Buckets of the hashed counts of character pairs and of characters.
 BUCKETS, SIGNS = 1 << 18, 1 << 16
 REPLACED = "�"
+#: The improbability of a pair of plain ASCII.
+PLAIN = -4.0
 
 
 def _tables() -> dict[str, dict[str, int]]:
@@ -157,14 +159,19 @@ class Scores:
 
     def odd(self, codes: np.ndarray) -> np.ndarray:
         """The improbability of each pair of adjacent characters."""
+        return self.scored(codes)[0]
+
+    def scored(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The improbability of each pair of adjacent characters and its rarity, which is 0 for plain ASCII."""
         x, y = codes[:-1], codes[1:]
-        out = np.full(len(x), -4.0)
+        odd, rarity = np.full(len(x), PLAIN), np.zeros(len(x))
         at = np.flatnonzero((x > 127) | (y > 127))
         x, y = x[at], y[at]
         cell = _bucket(x, y)
         expected = self.signs[x % SIGNS] * self.signs[y % SIGNS] / self.total
-        out[at] = np.log(expected + 0.5) - self.log_pairs[cell] - self.margin + self.bonus[cell]
-        return out
+        odd[at] = np.log(expected + 0.5) - self.log_pairs[cell] - self.margin + self.bonus[cell]
+        rarity[at] = self.rarity[cell]
+        return odd, rarity
 
     def cost(self, classes: list[int]) -> float:
         return sum(self.surprise[x, y] for x, y in zip(classes, classes[1:]))
@@ -196,13 +203,14 @@ def segments(text: str, scores: Scores, odd: np.ndarray | None = None) -> list[t
     odd = scores.odd(_codes(text)) if odd is None else odd
     if not (odd > 0).any():
         return []
-    # Pair i joins characters i and i + 1; a stretch without positive pairs needs no sweep.
+    # Pair i joins characters i and i + 1; a stretch between pairs of plain ASCII is swept if it holds a positive pair.
     touched = np.zeros(len(text), dtype=bool)
-    breaks = np.flatnonzero(odd == -4.0)
-    for a, b in zip([0, *(breaks + 1)], [*breaks, len(odd)]):
-        if b > a and (odd[a:b] > 0).any():
-            for i, j in maximal_segments(odd[a:b].tolist()):
-                touched[a + i : a + j + 1] = True
+    breaks = np.flatnonzero(odd == PLAIN)
+    edges = np.concatenate([[-1], breaks, [len(odd)]])
+    for k in np.unique(np.searchsorted(breaks, np.flatnonzero(odd > 0))):
+        a, b = edges[k] + 1, edges[k + 1]
+        for i, j in maximal_segments(odd[a:b].tolist()):
+            touched[a + i : a + j + 1] = True
     return [f.span() for f in FOREIGN.finditer(text) if touched[f.start() : f.end()].any()]
 
 
@@ -231,23 +239,18 @@ def _swap(read_as: str, was: str) -> dict[int, str | None]:
     return {ord(c): back[b] for c, b in TABLES[read_as].items() if b in back}
 
 
-def _rarities(text: str, scores: Scores) -> tuple[float, int]:
-    codes = _codes(text)
-    x, y = codes[:-1], codes[1:]
-    foreign = (x > 127) | (y > 127)
-    return float(scores.rarity[_bucket(x[foreign], y[foreign])].sum()), int(foreign.sum())
-
-
 def reread(text: str, scores: Scores) -> str | None:
     """The text read in the single-byte encoding it was written in, if it was read in another, or None.
 
     Tried where at least a fifth of its foreign runs are improbable, or its character pairs are on
-    average a nat rarer than the corpus's, and every foreign character exists in the wrong encoding. The pair of encodings stands that makes the character pairs
-    most common in the corpus, if they gain at least half a nat each.
+    average a nat rarer than the corpus's, and every foreign character exists in the wrong
+    encoding. The pair of encodings stands that makes the character pairs most common in the
+    corpus, if they gain at least half a nat each.
     """
+    odd, rarity = scores.scored(_codes(text))
+    before, n = float(rarity.sum()), int((odd != PLAIN).sum())
     foreign = FOREIGN.findall(text)
-    before, n = _rarities(text, scores)
-    if 5 * len(segments(text, scores)) < len(foreign) and before < (scores.usual + 1.0) * n:
+    if before < (scores.usual + 1.0) * n and 5 * len(segments(text, scores, odd)) < len(foreign):
         return None
     best, least = None, before - 0.5 * n
     signs = {ord(c) for run in foreign for c in run}
@@ -257,7 +260,7 @@ def reread(text: str, scores: Scores) -> str | None:
             if table is None or not signs <= table.keys():
                 continue
             fixed = text.translate(table)
-            now, _ = _rarities(fixed, scores)
+            now = float(scores.scored(_codes(fixed))[1].sum())
             if fixed != text and now < least:
                 best, least = fixed, now
     return best
@@ -327,10 +330,18 @@ def repaired(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = Scores(counts.value)
         for b in batches:
-            rows = []
-            foreign = b[[not t.isascii() for t in b[text]]]
-            for i, t in zip(foreign[doc], foreign[text]):
-                fixed, changed = restore(t, scores)
+            rows, at = [], 0
+            whole = _codes("\n".join(b[text]))
+            odd, rarity = scores.scored(whole)
+            for i, t in zip(b[doc], b[text]):
+                mine = slice(at, at + max(0, len(t) - 1))
+                at += len(t) + 1
+                # A text without an improbable pair and of usual rarity is natural throughout.
+                if t.isascii() or not ((odd[mine] > 0).any() or rarity[mine].sum() >= (scores.usual + 1.0) * (odd[mine] != PLAIN).sum()):
+                    if REPLACED in t:
+                        rows.append((i, None, True))
+                    continue
+                fixed, changed = restore(t, scores, odd[mine])
                 if REPLACED in fixed:
                     rows.append((i, None, True))
                 elif changed:
