@@ -194,6 +194,13 @@ def _clamped(c: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
 
 
+def _joined(parts: list[Value], separator: str) -> Value:
+    """The filled texts of values and lists, joined; null where none is filled."""
+    filled = F.filter(F.array(*[text(x) for x in _flat(parts)]), lambda x: x.isNotNull() & (x != ""))
+    return _s(F.nullif(F.array_join(filled, separator), F.lit("")))
+
+
+
 FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Value]], Value]]] = {
     "min": (1, 99, lambda a: _n(F.array_min(_numbers(a)))),
     "max": (1, 99, lambda a: _n(F.array_max(_numbers(a)))),
@@ -236,7 +243,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Value]], Value]]] = {
     "trim": (1, 1, lambda a: _s(F.regexp_replace(text(a[0]), r"^[\s ]+|[\s ]+$", ""))),
     "lower": (1, 1, lambda a: _s(F.lower(text(a[0])))),
     "upper": (1, 1, lambda a: _s(F.upper(text(a[0])))),
-    "concat": (1, 99, lambda a: _s(F.nullif(F.array_join(F.filter(F.array(*[text(x) for x in _flat(a)]), lambda x: x.isNotNull() & (x != "")), "; "), F.lit("")))),
+    "concat": (1, 99, lambda a: _joined(a, "; ")),
     "len": (1, 1, lambda a: _n(F.lit(len(a[0].items)) if a[0].kind == LIST else F.coalesce(F.length(text(a[0])), F.lit(0)))),
     "number": (1, 1, lambda a: _n(num(a[0]))),
     "days_between": (2, 2, lambda a: _n(F.datediff(_day(a[1]), _day(a[0])))),
@@ -271,11 +278,35 @@ def parsed(formula: str) -> ast.expression:
         raise FormulaError(f"the formula cannot be read: {error.msg}") from error
 
 
+class _FieldNames(ast.NodeVisitor):
+    """Collects the names that stand for fields: not those of called functions, nor constants."""
+
+    def __init__(self):
+        self.found: set[str] = set()
+
+    def visit_Name(self, node):  # noqa: N802
+        if node.id not in CONSTANTS:
+            self.found.add(node.id)
+
+    def visit_Call(self, node):  # noqa: N802
+        if not isinstance(node.func, ast.Name):
+            self.visit(node.func)
+        for part in [*node.args, *node.keywords]:
+            self.visit(part)
+
+
 def reads(formula: str) -> set[str]:
-    """Field names a formula reads: its names without function names and constants."""
-    tree = parsed(formula)
-    calls = {n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
-    return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} - calls - set(CONSTANTS)
+    """Field names a formula reads."""
+    visitor = _FieldNames()
+    visitor.visit(parsed(formula))
+    return visitor.found
+
+
+def catalogue(words: str = "") -> list[tuple[str, int, int]]:
+    """(name, fewest, most arguments) of every function and statistic whose name holds one of the words; all without words."""
+    wanted = words.lower().split()
+    every = [(n, low, high) for n, (low, high, _) in FUNCTIONS.items()] + [(n, 1, 3) for n in sorted(STATISTICS)]
+    return [f for f in every if not wanted or any(w in f[0] for w in wanted)]
 
 
 def statistics_in(formula: str) -> list[tuple[str, tuple]]:
@@ -413,6 +444,10 @@ class Compiler:
             return self.statistics(name, constants)
         if name not in self.functions:
             raise FormulaError(f"unknown function {name!r}{suggestion(name, [*self.functions, *STATISTICS])}")
+        if name == "concat" and (given := [k for k in n.keywords if k.arg == "separator"]):
+            if not isinstance(given[0].value, ast.Constant):
+                raise FormulaError("the separator must be a text")
+            return _joined([self.visit(a) for a in n.args], str(given[0].value.value))
         low, high, make = self.functions[name]
         args = [self.visit(a) for a in n.args] + [self.visit(k.value) for k in n.keywords]
         if not low <= len(args) <= high:

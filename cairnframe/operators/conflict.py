@@ -86,12 +86,12 @@ def grouped(candidates: DataFrame, cell: list[str]) -> DataFrame:
     return map_groups(flat, cell, ["tier", "seq"], work, f"{schema}, value_num double, value_max double, tier {kinds['tier']}, seq {kinds['seq']}, value string, fetched_at {kinds['fetched_at']}, domains array<string>, n bigint, group bigint")
 
 
-def resolved(candidates: DataFrame, cell: list[str], rule: str = "keep_all_and_flag", trusted: list[str] | None = None, authority: list[str] | None = None) -> DataFrame:
+def resolved(candidates: DataFrame, cell: list[str], rule: str = "keep_all_and_flag", trusted: list[str] | None = None, authority: list[str] | dict[str, list[str]] | None = None) -> DataFrame:
     """The groups of each cell and which of them stand: `cell`, group, value, value_num, value_max, domains, confidence, status.
 
     Rules: majority (most domains, then the best rank), trusted_first (best rank), newest (latest
-    fetch) and keep_all_and_flag (all stay, flagged). A domain in `authority` decides, except
-    under keep_all_and_flag. Rank is the place in `trusted`, by domain suffix at a point, or the
+    fetch) and keep_all_and_flag (all stay, flagged). A domain in `authority`, or one
+    below it, decides, for all fields or for those it is listed under, except under keep_all_and_flag. Rank is the place in `trusted`, by domain suffix at a point, or the
     tier beyond them. Losers are superseded at confidence 0; flagged groups are accepted with the
     penalty. A group shows its first value of the lowest tier. Ties go to the earlier group.
     """
@@ -100,7 +100,10 @@ def resolved(candidates: DataFrame, cell: list[str], rule: str = "keep_all_and_f
     ends = lambda t: lambda d: (F.lower(d) == F.lit(t.lower())) | F.endswith(F.lower(d), F.lit("." + t.lower()))
     for i, t in reversed(list(enumerate(trusted or []))):
         rank = F.when(F.exists("domains", ends(t)), i).otherwise(rank)
-    named = F.lit(False) if not authority else F.arrays_overlap("domains", F.array(*[F.lit(a) for a in authority]))
+    named = F.lit(False)
+    for field, sites in (authority.items() if isinstance(authority, dict) else [(None, authority or [])]):
+        for site in sites:
+            named = named | (F.exists("domains", ends(site)) & (F.lit(True) if field is None else F.col("name") == field))
     head = F.min(F.struct("tier", "seq", "value", "value_num", "value_max")).alias("head")
     groups = values.groupBy(*cell, "group").agg(head, F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"), F.min(rank).alias("rank"), F.max("fetched_at").alias("fetched_at"), F.max(named.cast("int")).alias("named"), F.sum("n").alias("n"))
     size = F.size("domains")
@@ -122,3 +125,15 @@ def resolved(candidates: DataFrame, cell: list[str], rule: str = "keep_all_and_f
 def held_back(values: DataFrame, floor: float) -> DataFrame:
     """Accepted values below the acceptance floor become review cases."""
     return values.withColumn("status", F.when((F.col("status") == "accepted") & (F.coalesce("confidence", F.lit(0.0)) < floor), "review").otherwise(F.col("status")))
+
+
+def disputed_by_trusted(values: DataFrame, cell: list[str]) -> DataFrame:
+    """Cells whose best value is of tier 0 while two domains of tier 1 or more say otherwise: `cell`, value, others, domains.
+
+    `values` are the groups of `resolved`; such a cell deserves a note, not a change.
+    """
+    head = values.where("tier = 0 and status = 'accepted'").select(*cell, F.col("group").alias("_g"), "value")
+    rest = values.where("tier = 1").select(*cell, "group", F.col("value").alias("_v"), "domains")
+    both = head.join(rest, cell).where("group <> _g")
+    told = both.groupBy(*cell, "value").agg(F.array_sort(F.collect_set("_v")).alias("others"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"))
+    return told.where(F.size("domains") >= 2)

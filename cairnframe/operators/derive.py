@@ -145,17 +145,36 @@ def _column(d: Derivation, compiler: Compiler, df: DataFrame) -> Column:
     return c
 
 
-def _coded(d: Derivation, df: DataFrame) -> Column:
-    """User code over Arrow batches; a row on which it fails is null."""
+def load_code(path: str, folder: str) -> Callable:
+    """The function `compute` of a Python file inside the project folder; files elsewhere are refused."""
+    import runpy
+    from pathlib import Path
+
+    where, root = Path(path).resolve(), Path(folder).resolve()
+    if where.suffix != ".py" or not where.is_relative_to(root):
+        raise FormulaError(f"code must be a Python file inside {root}")
+    found = runpy.run_path(str(where)).get("compute")
+    if not callable(found):
+        raise FormulaError(f"{where.name} defines no function `compute`")
+    return found
+
+
+def code_failures(df: DataFrame, d: Derivation) -> DataFrame:
+    """(error, n): what user code failed with, and on how many rows; most frequent first."""
+    return df.select(_coded(d, df, failures=True).alias("error")).where("error is not null").groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error")
+
+
+def _coded(d: Derivation, df: DataFrame, failures: bool = False) -> Column:
+    """User code over Arrow batches; a row on which it fails is null, and `failures` tells the kind of its error instead."""
     inputs, code = list(d.inputs), d.code
 
     def run(values):
         def one(row):
             try:
                 got = code(row)
-                return None if got is None else str(got)
-            except Exception:
-                return None
+                return None if got is None or failures else str(got)
+            except Exception as e:
+                return f"{type(e).__name__}: {e}"[:200] if failures else None
 
         return pd.Series([one(r) for r in values.to_dict("records")], dtype="object")
 
@@ -177,3 +196,24 @@ def preview(df: DataFrame, d: Derivation, samples: int = 3) -> Preview:
     made = derive(df, [d])
     r = made.agg(F.count(d.name).alias("filled"), F.count_if(F.col(d.name).isNull()).alias("empty")).first()
     return Preview(r["filled"], r["empty"], [x[0] for x in made.where(F.col(d.name).isNotNull()).select(d.name).limit(samples).collect()])
+
+
+def derived_rows(wide: DataFrame, values: DataFrame, items: list[Derivation], entity_type: str, key: str = "entity_id") -> DataFrame:
+    """Derived columns as rows of the long table, with lineage and confidence.
+
+    A derived value is as sure as the least sure of its accepted inputs, at most 0.45 if one of
+    them is itself inferred, 0.2 less where a partial result lacks an input, and 0.5 without any
+    input. `inputs` lists the `value_id` of what it came from; null results give no row.
+    """
+    accepted_ = values.where("status = 'accepted'").select(key, "name", "value_id", "confidence", "origin")
+    out = None
+    for d in items:
+        wanted = sorted(needs(d) & {c.split(".")[0] for c in wide.columns})
+        told = accepted_.where(F.col("name").isin(*wanted)).groupBy(key).agg(F.min(F.coalesce("confidence", F.lit(0.0))).alias("_c"), F.max(F.col("origin") == "inferred").alias("_i"), F.count_distinct("name").alias("_n"), F.array_sort(F.collect_set("value_id")).alias("inputs"))
+        sure = F.when(F.col("_c").isNull(), 0.5).otherwise(F.when(F.col("_i"), F.least("_c", F.lit(0.45))).otherwise(F.col("_c")))
+        lacks = F.lit(d.if_missing == "partial") & (F.coalesce("_n", F.lit(0)) < len(wanted))
+        confidence = F.round(F.greatest(F.lit(0.0), sure - F.when(lacks, 0.2).otherwise(0.0)), 6)
+        rows = wide.where(F.col(d.name).isNotNull()).select(key, F.col(d.name).cast("string").alias("value"), F.col(d.name).try_cast("double").alias("value_num") if dict(wide.dtypes)[d.name] != "boolean" else F.lit(None).cast("double").alias("value_num"))
+        made = rows.join(told, key, "left").select(key, F.lit(entity_type).alias("entity_type"), F.lit(d.name).alias("name"), "value", "value_num", F.lit("derived").alias("origin"), confidence.alias("confidence"), F.coalesce("inputs", F.array().cast("array<bigint>")).alias("inputs"))
+        out = made if out is None else out.unionByName(made)
+    return out

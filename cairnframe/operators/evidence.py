@@ -5,46 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnframe.functions.latin import compatible
 from cairnframe.functions.text import BLANK
 
+#: Signs that are written in several ways, and the way they are compared in.
+ALIKE = "–—’", "--'"
+# What a proof says of a value.
+VERIFIED, NO_QUOTE, NOT_ON_PAGE, NOT_IN_QUOTE = "proved", "the value comes without a quote", "the quote does not stand on the page", "the quote does not state the value"
 
-def flat(value: Column) -> Column:
-    """Text for comparison: one case, one kind of dash and apostrophe, single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(value, F.lit(""))), "–—’", "--'"), BLANK + "+", " "))
 
+def plain(value: Column) -> Column:
+    """Text for comparison: compatibility forms, one case, one kind of dash and quote, single blanks; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(compatible(F.coalesce(value, F.lit(""))), *ALIKE)), BLANK + "+", " "))
 
-def squeezed(value: Column) -> Column:
-    """Only ASCII letters and digits of the flat text."""
-    return F.regexp_replace(flat(value), "[^a-z0-9]", "")
 
+def stripped(text: Column) -> Column:
+    """Only the ASCII letters and digits of a plain text, run together."""
+    return F.regexp_replace(text, "[^a-z0-9]+", "")
 
-def _numbers(value: Column) -> Column:
-    return F.transform(F.regexp_extract_all(value, F.lit(r"\d[\d,.]*"), 0), lambda n: F.regexp_replace(F.replace(n, F.lit(","), F.lit("")), r"\.+$", ""))
 
+def stated_numbers(text: Column) -> Column:
+    """The different numbers of a plain text, without thousands commas and a final point."""
+    written = F.regexp_extract_all(text, F.lit(r"\d(?:[\d,.]*\d)?"), 0)
+    return F.array_distinct(F.transform(written, lambda n: F.translate(n, ",", "")))
 
-def quote_on_page(quote: Column, page: Column) -> Column:
-    """Whether a quote stands on its page, as flat text or, if longer than 8 letters and digits, squeezed."""
-    short = squeezed(quote)
-    return F.when(F.coalesce(quote, F.lit("")) != "", F.contains(flat(page), flat(quote)) | ((F.length(short) > 8) & F.contains(squeezed(page), short))).otherwise(False)
 
+def proof(value: Column, quote: Column, page: Column) -> Column:
+    """struct(kept, reason): whether the quote proves the value and the page proves the quote.
 
-def value_in_quote(value: Column, quote: Column) -> Column:
-    """Whether a value stands in its quote: its text, or all of its numbers, or its letters if it has no number."""
-    text, numbers = flat(value), _numbers(value)
-    present = F.forall(numbers, lambda n: F.array_contains(_numbers(quote), n))
-    found = ((text != "") & F.contains(flat(quote), text)) | F.when(F.size(numbers) > 0, present).otherwise(F.contains(squeezed(quote), squeezed(value)))
-    return F.when(value.isNotNull() & (F.coalesce(quote, F.lit("")) != ""), found).otherwise(False)
+    A quote of more than eight letters and digits may differ from the page in everything else; a
+    shorter one must stand there as plain text. A quote states a value if it holds its text or all
+    of its numbers; a value without numbers may differ in everything but letters.
+    """
+    return _judged(value.isNotNull(), plain(value), plain(quote), plain(page))
 
 
-def proof(value: Column, quote: Column, page: Column) -> Column:
-    """struct(kept, reason) of the chain value → quote → page."""
-    reason = (
-        F.when(F.coalesce(quote, F.lit("")) == "", "no quote given for the value")
-        .when(~quote_on_page(quote, page), "quote not found on page")
-        .when(~value_in_quote(value, quote), "value does not appear in its own quote")
-        .otherwise("quote verified")
-    )
-    return F.struct((reason == "quote verified").alias("kept"), reason.alias("reason"))
+def _judged(given: Column, v: Column, q: Column, p: Column) -> Column:
+    on_page = F.contains(p, q) | ((F.length(stripped(q)) > 8) & F.contains(stripped(p), stripped(q)))
+    numbers = stated_numbers(v)
+    loose = F.when(F.size(numbers) == 0, F.contains(stripped(q), stripped(v))).otherwise(F.size(F.array_except(numbers, stated_numbers(q))) == 0)
+    states = given & (((v != "") & F.contains(q, v)) | loose)
+    reason = F.when(q == "", NO_QUOTE).when(~on_page, NOT_ON_PAGE).when(~states, NOT_IN_QUOTE).otherwise(VERIFIED)
+    return F.struct((reason == VERIFIED).alias("kept"), reason.alias("reason"))
+
+
+def quote_on_page(quote: Column, page: Column) -> Column:
+    """Whether a quote stands on its page."""
+    return ~proof(F.lit("-"), quote, page)["reason"].isin(NO_QUOTE, NOT_ON_PAGE)
+
+
+def value_in_quote(value: Column, quote: Column) -> Column:
+    """Whether a quote states a value."""
+    return proof(value, quote, quote)["kept"]
 
 
 def sane(number: Column, high: Column, text: Column, limits: tuple | list) -> Column:
@@ -71,14 +83,26 @@ def sentences(text: Column) -> Column:
 
 
 def evidence_sentence(text: Column, value: Column, most: int = 400) -> Column:
-    """The first sentence that holds the value, or else its first number; at most `most` characters; null if none does."""
-    s = sentences(text)
-    number = F.regexp_extract(value, r"\d[\d,.]*", 0)
-    hit = F.coalesce(
-        F.try_element_at(F.filter(s, lambda x: F.contains(F.lower(x), F.lower(value))), F.lit(1)),
-        F.when(number != "", F.try_element_at(F.filter(s, lambda x: F.contains(x, number)), F.lit(1))),
-    )
-    return F.substring(hit, 1, most)
+    """The sentence that states a value, at most `most` characters of it with the value among them; empty if none does.
+
+    The value's first place in the text, in any case, is looked for, and the sentence grown from it
+    to both sides, so that full stops inside a value don't cut it. Failing that, the first sentence that holds
+    all of its numbers. A null text or value, and a blank value, have none.
+    """
+    wanted = F.lower(F.trim(F.regexp_replace(value, BLANK + "+", " ")))
+    # Where a sentence ends, the blank after its stop becomes a line end; lengths stay.
+    lines = F.regexp_replace(text, r"([.!?।])[^\S\n]", "$1\n")
+    at, size = F.position(wanted, F.lower(text)), F.length(wanted)
+    before = F.substring_index(F.substring(lines, F.lit(1), at - 1), "\n", -1)
+    inside = F.substring(text, at, size)
+    after = F.substring_index(F.substring(lines, at + size, F.length(text)), "\n", 1)
+    room = F.greatest(F.lit(0), most - size)
+    lead = F.least(F.length(before), F.greatest(room - F.length(after), F.floor(room / 2).cast("int")))
+    grown = F.concat(F.substring(before, F.length(before) - lead + 1, lead), inside, after)
+    numbers = F.regexp_extract_all(wanted, F.lit(r"\d[\d,.]*"), 0)
+    counted = F.try_element_at(F.filter(sentences(F.lower(text)), lambda s: F.forall(numbers, lambda n: F.contains(s, n))), F.lit(1))
+    found = F.when(at > 0, grown).when(F.size(numbers) > 0, counted)
+    return F.when(F.coalesce(wanted, F.lit("")) == "", "").otherwise(F.substring(F.trim(F.coalesce(found, F.lit(""))), 1, most))
 
 
 def trust_tier(domain: Column, tiers: dict[str, int], default: int = 3) -> Column:

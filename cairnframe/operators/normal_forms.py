@@ -162,3 +162,35 @@ def attribute_tables(values: DataFrame, fields: list[str], key: str = "entity_id
     """6NF: one table per attribute, `key` and its value with its validity."""
     empty = F.lit(None).cast("string")
     return {f: values.where(F.col("name") == f).select(key, F.col("value").alias(f), empty.alias("valid_from"), empty.alias("valid_to")).distinct() for f in fields}
+
+
+def named_junction(pairs: DataFrame, names: DataFrame, from_id: str, to_id: str) -> DataFrame:
+    """2NF: a junction of two ids with the second's name beside it, which depends on part of the key only."""
+    return pairs.select(from_id, to_id).distinct().join(names.select(F.col("entity_id").alias(to_id), F.col("canonical_name").alias(f"{to_id.removesuffix('_id')}_name")), to_id, "left").select(from_id, to_id, f"{to_id.removesuffix('_id')}_name")
+
+
+def junction(pairs: DataFrame, accepted_from: DataFrame, accepted_to: DataFrame, from_id: str, to_id: str) -> DataFrame:
+    """Pairs of ids both of which are accepted, each once."""
+    kept = pairs.join(accepted_from.select(F.col("entity_id").alias(from_id)), from_id, "left_semi")
+    return kept.join(accepted_to.select(F.col("entity_id").alias(to_id)), to_id, "left_semi").select(from_id, to_id).distinct()
+
+
+def accepted_ids(values: DataFrame, entity_type: str | None = None) -> DataFrame:
+    """Entities that have an accepted value."""
+    mine = values.where("status = 'accepted'")
+    return (mine.where(F.col("entity_type") == entity_type) if entity_type else mine).select("entity_id").distinct()
+
+
+def provenance(values: DataFrame, pages: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Where each accepted value comes from; values without a page keep their row with null address and time."""
+    told = values.where("status = 'accepted'").select(key, "name", "value", "origin", "confidence", "tier", "quote", "page_id")
+    return told.join(pages.select("page_id", "url", "fetched_at"), "page_id", "left").select(key, "name", "value", "origin", "confidence", "tier", "quote", "url", "fetched_at")
+
+
+def identifiers(registry: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(entity_id, authority, identifier): registry rows (name, authority, identifier) by an entity's name or an alias, in any case.
+
+    Two equal joins instead of one on either, so neither becomes a nested loop.
+    """
+    names = entities.select("entity_id", F.lower(F.trim("canonical_name")).alias("_k")).unionByName(aliases.select("entity_id", F.lower(F.trim("alias")).alias("_k")))
+    return registry.withColumn("_k", F.lower(F.trim("name"))).join(names.where("_k <> ''").distinct(), "_k").select("entity_id", "authority", "identifier").distinct()

@@ -94,3 +94,14 @@ def cross_checked(values: DataFrame, answers: DataFrame, key: list[str], toleran
     near = F.abs(F.col("value_num") - F.col("answer")) <= tolerance
     c: Column = F.col("confidence")
     return both.withColumn("confidence", F.when(near, F.least(F.lit(0.99), c + 0.1)).when(near.isNotNull(), F.greatest(F.lit(0.0), c - 0.2)).otherwise(c)).drop("answer")
+
+
+def place_functions(places: DataFrame, most: int = 20_000) -> dict:
+    """`place_parent(name)` for formulas, out of a place table of at most `most` rows; a larger one is joined by `place_parents`."""
+    rows = place_parents(places).where("parent_name is not null").select(F.lower(F.trim("name")).alias("name"), "parent_name").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a place table of more than {most} rows is no part of a formula; join place_parents")
+    from cairnframe.functions.formula import STR, Value, text
+
+    table = F.create_map(*[F.lit(x) for r in rows for x in (r["name"], r["parent_name"])]) if rows else F.lit(None)
+    return {"place_parent": (1, 1, lambda a: Value(STR, F.try_element_at(table, F.lower(F.trim(text(a[0])))) if rows else F.lit(None).cast("string")))}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cairnframe.functions.standard import comparison_key, script
 from cairnframe.session import cut
@@ -62,6 +63,12 @@ def close_names(names: DataFrame, threshold: float = CLOSE) -> DataFrame:
     return best.select("entity_type", "key", F.col("b.earlier").alias("earlier"), F.col("b.similarity").alias("similarity"))
 
 
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How alike two texts are, 0 to 1 (ratio of matching blocks); null with a null."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
 def canonical_keys(names: DataFrame, threshold: float = CLOSE, fuzzy: bool = True, rounds: int = 20) -> DataFrame:
     """(`entity_type`, `key`, `root`): every key with the earliest key it attaches to, link by link.
 

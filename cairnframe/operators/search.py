@@ -70,3 +70,39 @@ def corpus_stats(pages: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]
     """One row of totals, and the largest domains."""
     totals = pages.agg(F.count("*").alias("pages"), F.count_distinct("domain").alias("domains"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))
     return totals, pages.groupBy("domain").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "domain").limit(top)
+
+
+def search_or_any(pages: DataFrame, query: str, limit: int = 20, domain: str | None = None) -> DataFrame:
+    """`search` for all terms, and where no page holds them all, for any of them."""
+    whole = search(pages, query, limit, domain)
+    return search(pages, query, limit, domain, any_term=True) if len(terms(query)) > 1 and whole.isEmpty() else whole
+
+
+def match_expression(query: str, any_term: bool = False) -> str:
+    """The query as an expression of quoted terms, joined by AND or OR."""
+    return (" OR " if any_term else " AND ").join(f'"{t}"' for t in terms(query))
+
+
+def indexed_search(index: DataFrame, page_lengths: DataFrame, query: str, limit: int = 20, any_term: bool = False, page: str = "page_id") -> DataFrame:
+    """(`page`, score): the best pages by a stored `build_index` and its `lengths`; only the query's terms are read from it.
+
+    Stored by term, the index is pruned to the terms' files. BM25 as in `search`; ties go to the smaller id.
+    """
+    wanted = terms(query)
+    hits = index.where(F.col("term").isin(*wanted))
+    stats = page_lengths.agg(F.count("*").alias("_n"), F.avg("length").alias("_mean"))
+    counts = hits.groupBy("term").agg(F.count("*").alias("_d"))
+    both = hits.join(F.broadcast(counts), "term").join(page_lengths, page).crossJoin(F.broadcast(stats))
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col("_d") + 0.5) / (F.col("_d") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_mean")))
+    scored = both.groupBy(page).agg(F.sum(part).alias("score"), F.count("*").alias("_t"))
+    kept = scored if any_term else scored.where(F.col("_t") == len(wanted))
+    return kept.select(page, F.round("score", 6).alias("score")).orderBy(F.desc("score"), page).limit(limit)
+
+
+def page_detail(pages: DataFrame, fields: DataFrame, values: DataFrame, ids: list[int]) -> DataFrame:
+    """Pages with their fields and the values found on them, as lists."""
+    mine = lambda df: df.where(F.col("page_id").isin(*ids))
+    told = mine(fields).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("fields"))
+    found = mine(values).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("name", "value", "status"))).alias("values"))
+    return mine(pages).join(told, "page_id", "left").join(found, "page_id", "left")

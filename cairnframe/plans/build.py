@@ -13,10 +13,15 @@ from cairnframe.operators import conflict, evidence, resolution
 from cairnframe.operators import values as V
 from cairnframe.operators.derive import derive
 from cairnframe.operators.normal_forms import Table, check
+from cairnframe.operators.relations import with_defaults
 from cairnframe.plans.spec import FieldSpec, Spec
 from cairnframe.session import cut
 
 
+# Words of the names of fields that hold amounts of money.
+MONEY = ("price", "cost", "amount", "fee", "salary", "revenue", "budget", "wage")
+
+
 @dataclass
 class Dataset:
     values: DataFrame
@@ -24,6 +29,8 @@ class Dataset:
     rejects: DataFrame
     tables: list[Table] = field(default_factory=list)
     problems: list[str] = field(default_factory=list)
+    aliases: DataFrame | None = None
+    notes: DataFrame | None = None
 
 
 def standard_value(f: FieldSpec, raw: Column, spec: Spec) -> Column:
@@ -42,8 +49,7 @@ def _standard(f: FieldSpec, text: Column, spec: Spec) -> Column:
     if spec.standard == "raw" or f.type in ("text", "category", "url"):
         return made(text)
     if f.type in ("number", "range"):
-        money = ("price", "cost", "amount", "fee", "salary", "revenue", "budget", "wage")
-        if (f.unit or "").upper() in S.CURRENCIES or (not f.unit and any(w in f.name for w in money)):
+        if (f.unit or "").upper() in S.CURRENCIES or (not f.unit and any(w in f.name for w in MONEY)):
             return let(S.money(text, (f.unit or spec.currency or "").upper() or None, spec.rates), lambda m: made(S.display(m["amount"]), m["amount"], None, m["currency"], F.coalesce(m["problem"], F.when(m["amount"].isNull(), "no number found in the value"))))
         shown = lambda m: F.when(m["hi"].isNotNull(), F.concat(S.display(m["lo"]), F.lit("-"), S.display(m["hi"]))).otherwise(S.display(m["lo"]))
         return let(S.measured(text, f.unit), lambda m: made(shown(m), m["lo"], m["hi"], m["unit"], F.when(m["lo"].isNull(), "no number found in the value")))
@@ -76,15 +82,27 @@ def standardized(candidates: DataFrame, spec: Spec) -> tuple[DataFrame, DataFram
     return flat.where("reason is null").drop("reason"), flat.where("reason is not null")
 
 
-def build(candidates: DataFrame, spec: Spec, aliases: DataFrame | None = None, relations: DataFrame | None = None, fuzzy: bool = True) -> Dataset:
+def build(candidates: DataFrame, spec: Spec, aliases: DataFrame | None = None, relations: DataFrame | None = None, fuzzy: bool = True, vocabulary: DataFrame | None = None) -> Dataset:
     """A dataset out of candidates (entity_type, identity, name, raw_value, tier, domain, fetched_at, origin, seq).
 
-    Stages: standardize and check limits, resolve entities, group and settle each cell, score
-    confidence, hold back what lies below the floor, pivot, derive, check the level. The shuffles
-    are those of entity resolution, of the cells and of the pivot.
+    Stages: trust the sites as the project file does, standardize and check limits and
+    vocabularies, resolve entities, group and settle each cell (a site in `authority` decides its
+    fields), score confidence, hold back what lies below the floor, name entities by their label,
+    fill declared defaults, pivot, derive, check the level. The shuffles are those of entity
+    resolution, of the cells and of the pivot. `vocabulary` are (vocabulary, term, alias) rows;
+    a strict project refuses values outside their field's vocabulary.
     """
+    if spec.tiers:
+        candidates = candidates.withColumn("tier", F.coalesce(*[F.when((F.lower("domain") == t.lower()) | F.endswith(F.lower("domain"), F.lit("." + t.lower())), F.lit(int(n))) for t, n in sorted(spec.tiers.items(), key=lambda kv: -len(kv[0]))], F.col("tier").cast("int")))
     kept, rejects = standardized(candidates, spec)
-    placed = cut(resolution.resolve(kept, aliases, fuzzy=fuzzy).where("entity_id is not null"))
+    if vocabulary is not None:
+        kept, refused = in_vocabulary(kept, vocabulary, spec)
+        rejects = rejects.unionByName(refused, allowMissingColumns=True)
+    inexact = [e.name for e in spec.entities if not e.fuzzy]
+    placed = resolution.resolve(kept.where(~F.col("entity_type").isin(*inexact)) if inexact else kept, aliases, fuzzy=fuzzy)
+    if inexact:
+        placed = placed.unionByName(resolution.resolve(kept.where(F.col("entity_type").isin(*inexact)), aliases, fuzzy=False))
+    placed = cut(placed.where("entity_id is not null"))
     entities = placed.groupBy("entity_id", "entity_type").agg(F.first("canonical_name").alias("canonical_name"))
     # Values of a field declared multiple do not compete: each is a cell of its own.
     many = F.lit(False)
@@ -93,9 +111,13 @@ def build(candidates: DataFrame, spec: Spec, aliases: DataFrame | None = None, r
             if f.multiple:
                 many = many | ((F.col("entity_type") == e.name) & (F.col("name") == f.name))
     apart = placed.withColumn("_own", F.when(many, F.lower(F.trim("value"))).otherwise(""))
-    cells = conflict.resolved(apart, ["entity_type", "entity_id", "name", "_own"], spec.conflict, spec.trusted).drop("_own")
+    cells = conflict.resolved(apart, ["entity_type", "entity_id", "name", "_own"], spec.conflict, spec.trusted, spec.authority).drop("_own")
     # Tables and their checks read the settled cells many times over, so the lineage is cut here.
     settled = cut(conflict.held_back(cells.withColumn("origin", F.lit("extracted")), spec.floor))
+    entities, former = labelled(entities, settled, spec)
+    defaults = {(e.name, f.name): f.default for e in spec.entities for f in e.fields if f.default is not None}
+    if defaults:
+        settled = with_defaults(settled, entities, defaults)
     tables = []
     for e in spec.entities:
         mine = settled.where((F.col("entity_type") == e.name) & (F.col("status") == "accepted"))
@@ -117,4 +139,31 @@ def build(candidates: DataFrame, spec: Spec, aliases: DataFrame | None = None, r
         for a, r, b in spec.relations:
             pairs = relations.where(F.col("relation") == r).select(F.col("from_id").alias(f"{a}_id"), F.col("to_id").alias(f"{b}_id")).distinct()
             tables.append(Table(f"{a}_{r}_{b}", pairs, [f"{a}_id", f"{b}_id"], "junction"))
-    return Dataset(settled, entities, rejects, tables, check(tables, spec.level) if spec.level != "0NF" else [])
+    notes = conflict.disputed_by_trusted(settled, ["entity_type", "entity_id", "name"])
+    return Dataset(settled, entities, rejects, tables, check(tables, spec.level) if spec.level != "0NF" else [], former, notes)
+
+
+def in_vocabulary(kept: DataFrame, vocabulary: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """(kept, refused): values of fields with a vocabulary as its terms; a strict project refuses others, else they stay as written."""
+    listed = [(e.name, f.name, f.vocabulary) for e in spec.entities for f in e.fields if f.vocabulary]
+    if not listed:
+        return kept, kept.where("false").withColumn("reason", F.lit(""))
+    mine = kept.sparkSession.createDataFrame(listed, "entity_type string, name string, vocabulary string")
+    key = S.comparison_key(F.col("alias"))
+    terms = vocabulary.select("vocabulary", "term", "alias").unionByName(vocabulary.select("vocabulary", "term", F.col("term").alias("alias"))).groupBy("vocabulary", key.alias("_k")).agg(F.min("term").alias("_term"))
+    both = kept.join(F.broadcast(mine), ["entity_type", "name"], "left").withColumn("_k", S.comparison_key(F.col("value"))).join(terms, ["vocabulary", "_k"], "left")
+    strict = F.lit(spec.standard == "strict") & F.col("vocabulary").isNotNull() & F.col("_term").isNull()
+    done = both.withColumn("value", F.coalesce("_term", "value")).withColumn("_out", strict).drop("_k", "_term", "vocabulary")
+    return done.where("not _out").drop("_out"), done.where("_out").drop("_out").withColumn("reason", F.lit("not in the vocabulary"))
+
+
+def labelled(entities: DataFrame, values: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """(entities, aliases): entities with a label field are named by its most confident value, and keep their identity as an alias."""
+    labels = F.lit(False)
+    for e in spec.entities:
+        if e.label:
+            labels = labels | ((F.col("entity_type") == e.name) & (F.col("name") == e.label))
+    best = values.where(labels & (F.col("status") == "accepted")).groupBy("entity_id").agg(F.max_by("value", F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("group"))).alias("_label"))
+    both = entities.join(best, "entity_id", "left")
+    former = both.where(F.col("_label").isNotNull() & (F.col("_label") != F.col("canonical_name"))).select("entity_id", F.col("canonical_name").alias("alias"))
+    return both.withColumn("canonical_name", F.coalesce("_label", "canonical_name")).drop("_label"), former

@@ -35,6 +35,9 @@ class EntitySpec:
     name: str
     identity: list[str]
     fields: list[FieldSpec]
+    aliases_from: list[str] = field(default_factory=list)
+    label: str | None = None
+    fuzzy: bool = True
 
     def field(self, name: str) -> FieldSpec | None:
         return next((f for f in self.fields if f.name == name), None)
@@ -77,7 +80,7 @@ def _field(raw) -> FieldSpec:
     if isinstance(raw, str):
         return FieldSpec(raw)
     known = {k: v for k, v in raw.items() if k in FieldSpec.__dataclass_fields__}
-    rules = raw.get("rules", raw.get("rule", []))
+    rules = raw.get("rules", raw.get("rule", raw.get("extract", [])))
     return FieldSpec(**(known | {"rules": [rules] if isinstance(rules, str) else list(rules)}))
 
 
@@ -88,7 +91,7 @@ def from_dict(raw: dict) -> Spec:
         e = {"fields": e} if isinstance(e, list) else e
         fields = [_field(f) for f in (e.get("fields") or [])]
         identity = e.get("identity") or ([fields[0].name] if fields else [])
-        entities.append(EntitySpec(name, [identity] if isinstance(identity, str) else list(identity), fields))
+        entities.append(EntitySpec(name, [identity] if isinstance(identity, str) else list(identity), fields, list(e.get("aliases_from") or []), e.get("label"), bool(e.get("fuzzy", True))))
     relations = [tuple(r.split()) if isinstance(r, str) else (r["from"], r["name"], r["to"]) for r in raw.get("relations") or []]
     derived = {}
     for entity, items in (raw.get("derived") or {}).items():

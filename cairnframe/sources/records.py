@@ -7,6 +7,7 @@ that Spark reads itself are read by Spark; the rest are parsed from whole files,
 from __future__ import annotations
 
 import io
+import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -233,9 +234,124 @@ def read_source(spark: SparkSession, location: str, kind: str | None = None, key
         f = osm_features(spark, location.removeprefix("osm:"))
         return record_rows(f.select("id", "name", "lat", "lon", "tags"), location, "id")
     if kind == "folder":
-        parts = [read_source(spark, location, k) for k in ("docx", "xlsx")]
-        pages, fields = parts[0]
-        for p, f in parts[1:]:
-            pages, fields = pages.unionByName(p), fields.unionByName(f)
+        pages, fields, _ = read_folder(spark, location)
         return pages, fields
     raise ValueError(f"a source of kind {kind!r} needs a network or a library that is not part of this engine")
+
+
+#: Files that a folder source reads, by suffix.
+SUFFIXES = {".csv": "csv", ".tsv": "csv", ".json": "json", ".txt": "text", ".md": "text", ".docx": "docx", ".xlsx": "xlsx"}
+
+
+def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, fields, skipped) of every readable file below a folder; `skipped` lists (path, suffix) of the rest.
+
+    Files are told apart by suffix from a listing alone. Text files and documents are read by kind
+    in one scan each; tables, whose headings differ, file by file.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    known = listed.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+    skipped = known.where(~F.col("suffix").isin(*SUFFIXES))
+    files = [r["path"] for r in known.where(F.col("suffix").isin(*SUFFIXES)).orderBy("path").toLocalIterator()]
+    pages, fields = None, spark.createDataFrame([], FIELDS)
+    for path in files:
+        p, f = read_source(spark, path, SUFFIXES["." + path.rsplit(".", 1)[1].lower()])
+        pages = p if pages is None else pages.unionByName(p, allowMissingColumns=True)
+        fields = fields.unionByName(f, allowMissingColumns=True)
+    return (spark.createDataFrame([], "url string, text string, source_id string") if pages is None else pages), fields, skipped
+
+
+def registered(sources: DataFrame | None, spark: SparkSession, source_id: str, kind: str, location: str, tier: int = 3, authoritative_for: list[str] | None = None) -> DataFrame:
+    """The source registry with one more source; a source of the same id is replaced."""
+    new = spark.createDataFrame([(source_id, kind, location, tier, authoritative_for or [])], "source_id string, kind string, location string, tier int, authoritative_for array<string>")
+    return new if sources is None else sources.where(F.col("source_id") != source_id).unionByName(new)
+
+
+# The reference tables and the columns that tell them.
+REFERENCE = {
+    "units": ("quantity", "unit", "base_unit", "factor"), "places": ("name", "kind", "parent"), "vocab": ("vocabulary", "term"),
+    "authority_ids": ("authority", "identifier", "name"), "source_rank": ("domain", "tier"),
+}
+
+
+def reference_kind(path: str, columns: list[str]) -> str:
+    """Which reference table a file holds, by its name, else by its columns; a ValueError if neither tells."""
+    name = path.rsplit("/", 1)[-1].lower()
+    for kind in REFERENCE:
+        if kind.split("_")[0].rstrip("s") in name:
+            return kind
+    have = {c.strip().lower() for c in columns}
+    best = max(REFERENCE, key=lambda k: (set(REFERENCE[k]) <= have, len(set(REFERENCE[k]) & have)))
+    if not set(REFERENCE[best][:2]) <= have:
+        raise ValueError(f"{path} is none of the reference tables {', '.join(REFERENCE)}")
+    return best
+
+
+def load_reference(spark: SparkSession, path: str, kind: str | None = None, existing: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """(kind, table) of a reference file, its rows replacing those of `existing` with the same first two columns."""
+    rows = spark.read.option("header", True).csv(path)
+    rows = rows.toDF(*[c.strip().lower() for c in rows.columns])
+    kind = kind or reference_kind(path, rows.columns)
+    key = [c for c in REFERENCE[kind][:2] if c in rows.columns]
+    whole = [F.col(c) for c in rows.columns if c not in key]
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    one = placed.groupBy(*key).agg(F.max_by(F.struct(*whole), "_at").alias("r")).select(*key, "r.*") if whole else rows.distinct()
+    return kind, one if existing is None else existing.join(one.select(*key), key, "left_anti").unionByName(one, allowMissingColumns=True)
+
+
+def service_records(payload: str) -> list[dict]:
+    """The records of a JSON service's answer: a list, or what stands under records, results or data."""
+    got = json.loads(payload)
+    if isinstance(got, dict):
+        got = next((got[k] for k in ("records", "results", "data") if isinstance(got.get(k), list)), [got])
+    return [r for r in got if isinstance(r, dict)] if isinstance(got, list) else []
+
+
+def decoded(content: bytes, content_type: str | None = None, most: int = 5 << 20) -> str:
+    """A page's text from at most `most` bytes: by the header's charset, the page's own, UTF-8, else Windows-1252."""
+    raw = content[:most]
+    said = re.search(r"charset=[\"']?([\w-]+)", content_type or "") or re.search(r"charset=[\"']?([\w-]+)", raw[:2048].decode("latin-1"))
+    for name in ([said[1]] if said else []) + ["utf-8"]:
+        try:
+            return raw.decode(name)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return raw.decode("cp1252", "replace")
+
+
+def robots(text: str, agent: str = "*") -> tuple[list[tuple[bool, str]], float | None]:
+    """(rules, delay) of a robots file for an agent: (allowed, path prefix), the longest first, and seconds between fetches."""
+    groups: dict[str, list] = {}
+    names, fresh = [], True
+    for line in text.splitlines():
+        key, _, value = line.partition("#")[0].partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if key == "user-agent":
+            names = [value.lower()] if fresh is False or not names else [*names, value.lower()]
+            fresh = True
+        elif key in ("allow", "disallow", "crawl-delay") and names:
+            fresh = False
+            for n in names:
+                groups.setdefault(n, []).append((key, value))
+    mine = groups.get(agent.lower(), groups.get("*", []))
+    rules = sorted(((k == "allow", v) for k, v in mine if k != "crawl-delay" and v), key=lambda r: (-len(r[1]), not r[0]))
+    delays = [float(v) for k, v in mine if k == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", v)]
+    return rules, delays[0] if delays else None
+
+
+def may_fetch(rules: list[tuple[bool, str]], path: str) -> bool:
+    """Whether the longest rule that a path begins with allows it; paths under no rule are free."""
+    return next((ok for ok, prefix in rules if path.startswith(prefix.rstrip("*"))), True)
+
+
+def export_pages(pages: DataFrame, path: str, kind: str = "json") -> None:
+    """Raw pages as JSON lines, CSV or texts, one output file per task."""
+    told = pages.select("page_id", "url", "title", "text", "fetched_at")
+    if kind == "json":
+        told.write.mode("overwrite").json(path)
+    elif kind == "csv":
+        told.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    elif kind == "text":
+        told.select(F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", "url", F.lit(""))), F.coalesce("url", F.lit("")), F.coalesce("text", F.lit("")), F.lit("")).alias("value")).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"pages can be written as json, csv or text, not {kind!r}")

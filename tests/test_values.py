@@ -28,7 +28,13 @@ def test_conflict_rules(spark):
 def test_proof(spark):
     df = spark.createDataFrame([("3,000 m", "It grows at 3000  m – rarely", "So: it grows at 3000 m - rarely."), ("x", None, "x"), ("5", "about 6", "about 6"), ("a", "b", "c"), (None, "q", "q")], "v string, q string, p string")
     got = [r.reason for r in df.select(evidence.proof(F.col("v"), F.col("q"), F.col("p")).alias("r")).select("r.reason").collect()]
-    assert got == ["quote verified", "no quote given for the value", "value does not appear in its own quote", "quote not found on page", "value does not appear in its own quote"]
+    assert got == [evidence.VERIFIED, evidence.NO_QUOTE, evidence.NOT_IN_QUOTE, evidence.NOT_ON_PAGE, evidence.NOT_IN_QUOTE]
+    wide = spark.createDataFrame([("１，２００ｍ", "It is 1,200m high", "it is 1,200m high."), ("ﬁne", "so fine", "So ﬁne a day")], "v string, q string, p string")
+    assert all(r[0] for r in wide.select(evidence.proof(F.col("v"), F.col("q"), F.col("p"))["kept"]).collect())
+    long_ = "x" * 900 + " 41 " + "y" * 900
+    t = spark.createDataFrame([("By Dr. Rao in May. Then", "Dr. Rao"), (long_, "41"), ("It is 3.5 km away. Far 7", "3.5 km"), ("a\nIn 1,200 of 30 m\nb", "30 or 1,200"), (None, "x"), ("x", None), ("x", " "), ("x", "z")], "t string, v string")
+    got = [r[0] for r in t.select(evidence.evidence_sentence(F.col("t"), F.col("v"))).collect()]
+    assert got[0] == "By Dr. Rao in May." and "41" in got[1] and len(got[1]) <= 400 and got[2] == "It is 3.5 km away." and got[3] == "in 1,200 of 30 m" and set(got[4:]) == {""}
     s = df.select(evidence.evidence_sentence(F.lit("One. Two 7 here! Three"), F.lit("7")).alias("s")).first().s
     assert s == "Two 7 here!"
     t = spark.createDataFrame([("notwebmd.com",), ("a.webmd.com",), ("x.gov.in",)], "d string")
