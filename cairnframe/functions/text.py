@@ -19,6 +19,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def constants(pairs: dict) -> Column:
+    """A fixed table of texts or numbers as one map literal, which is cheap to make and folded once."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else repr(x) + ("D" if isinstance(x, float) else "")
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in pairs.items()) + ")")
+
+
 def squeeze(value: Column) -> Column:
     """Text with single spaces inside and none at its ends."""
     return F.trim(F.regexp_replace(value, BLANK + "+", " "))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnframe.functions.text import BLANK, is_missing, squeeze
+from cairnframe.functions.text import BLANK, constants, is_missing, squeeze
 from cairnframe.session import bucket_count, bucketed
 
 # Month names and their usual short forms, by month.
@@ -45,8 +45,7 @@ def field_key(name: Column) -> Column:
 def month_number(word: Column) -> Column:
     """The month of a name or short form, in any case; null for other words."""
     names = {w: k for k, words in MONTHS.items() for w in words.split()}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.try_element_at(table, F.lower(F.regexp_replace(word, r"\.$", "")))
+    return F.try_element_at(constants(names), F.lower(F.regexp_replace(word, r"\.$", "")))
 
 
 def plain_digits(number: Column) -> Column:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from cairnframe.functions import formula, standard
 from cairnframe.functions.formula import NUM, STR
-from cairnframe.operators import conflict, evidence, normal_forms, pages, relations, resolution, search, statistics
+from cairnframe.operators import conflict, evidence, extraction, normal_forms, pages, relations, resolution, search, statistics
 from cairnframe.operators import values as V
-from cairnframe.operators.derive import Derivation, derive
+from cairnframe.operators.derive import Derivation, derive, derived_rows
 from cairnframe.operators.units import with_numbers
-from cairnframe.plans import core_problems, sqlgate
+from cairnframe.plans import core_problems, report, sqlgate
+from cairnframe.plans.spec import from_dict
 from cairnframe.session import table
 from cairnframe.sources import records
 from cairnframe.streaming import landing
@@ -26,6 +27,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The blanks that part sentences, for SQL.
+_SQL_GAP = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _sql_normal(c: str) -> str:
+    """SQL of the normal form of a text."""
+    plain = f"regexp_replace(replace(replace({c}, chr(8203), ''), chr(65279), ''), '[{_SQL_GAP}]+', ' ', 'g')"
+    return f"regexp_replace({plain}, '^[\\s.,;:|\\-]+|[\\s.,;:|\\-]+$', '', 'g')"
+
+
+def _sql_plain(c: str) -> str:
+    """SQL of the form in which quotes are compared."""
+    return f"trim(regexp_replace(lower(translate(coalesce({c}, ''), '–—’', '--' || chr(39))), '[{_SQL_GAP}]+', ' ', 'g'))"
+
+
+def _sql_states(v: str, q: str) -> str:
+    """SQL of whether a quote states a value, both in plain form."""
+    numbers = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, '\\d(?:[\\d,.]*\\d)?'), lambda n: replace(n, ',', '')))"
+    bare = lambda x: f"regexp_replace({x}, '[^a-z0-9]+', '', 'g')"
+    return f"(({v} <> '' and contains({q}, {v})) or case when len({numbers(v)}) = 0 then contains({bare(q)}, {bare(v)}) else list_has_all({numbers(q)}, {numbers(v)}) end)"
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -262,9 +285,9 @@ def comparison_keys(spark, root):
     return table(spark, root, "part").select("p_partkey", standard.comparison_key(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("k"))
 
 
-@query("scripts", "select doc_id, case when regexp_matches(coalesce(text, ''), '[ऀ-ॿ]') then 'Devanagari' else 'Latin' end as s from documents where not regexp_matches(coalesce(text, ''), '[஀-௿]')")
+@query("scripts", "select doc_id, case when m = '' then 'Latin' when m <= 'ॿ' then 'Devanagari' else 'Tamil' end as s from (select doc_id, regexp_extract(coalesce(text, ''), '[ऀ-ॿ஀-௿]', 0) as m from documents)")
 def scripts(spark, root):
-    return table(spark, root, "documents").where(~F.coalesce("text", F.lit("")).rlike("[஀-௿]")).select("doc_id", standard.script(F.col("text")).alias("s"))
+    return table(spark, root, "documents").select("doc_id", standard.script(F.col("text")).alias("s"))
 
 
 @query("written_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as a, strftime(o_orderdate, '%Y-%m-%d') as b, strftime(o_orderdate, '%Y-%m') as c from orders")
@@ -295,15 +318,20 @@ def sanity_limits(spark, root):
     return table(spark, root, "candidates").select("candidate_id", evidence.sane(F.col("confidence"), none, F.lit(""), [0.5, 0.9]).alias("sane"))
 
 
-@query("value_in_quote")
+@query("value_in_quote", f"select candidate_id, q <> '' and given and {_sql_states('v', 'q')} as proved from (select candidate_id, raw_value is not null as given, {_sql_plain('raw_value')} as v, {_sql_plain('quote')} as q from candidates)")
 def value_in_quote(spark, root):
     rows = table(spark, root, "candidates")
     return rows.select("candidate_id", evidence.value_in_quote(F.col("raw_value"), F.col("quote")).alias("proved"))
 
 
-@query("quote_proof")
+@query(
+    "quote_proof",
+    f"""with p as (select candidate_id, raw_value is not null as given, {_sql_plain('raw_value')} as v, {_sql_plain('c.quote')} as q, {_sql_plain('p.text')} as t from candidates c left join pages p using (page_id)),
+    j as (select *, regexp_replace(q, '[^a-z0-9]+', '', 'g') as s, {_sql_states('v', 'q')} as states from p)
+    select candidate_id, case when q = '' then '{evidence.NO_QUOTE}' when not (contains(t, q) or (len(s) > 8 and contains(regexp_replace(t, '[^a-z0-9]+', '', 'g'), s))) then '{evidence.NOT_ON_PAGE}' when not (given and states) then '{evidence.NOT_IN_QUOTE}' else '{evidence.VERIFIED}' end as reason, reason = '{evidence.VERIFIED}' as kept from j""",
+)
 def quote_proof(spark, root):
-    rows = table(spark, root, "candidates").where("quote is not null").select("candidate_id", "raw_value", "quote", "page_id")
+    rows = table(spark, root, "candidates").select("candidate_id", "raw_value", "quote", "page_id")
     both = rows.join(table(spark, root, "pages").select("page_id", "text"), "page_id", "left")
     return both.select("candidate_id", evidence.proof(F.col("raw_value"), F.col("quote"), F.col("text")).alias("p")).select("candidate_id", "p.kept", "p.reason")
 
@@ -314,19 +342,15 @@ def trust_tiers(spark, root):
     return table(spark, root, "pages").select("page_id", evidence.trust_tier(F.col("domain"), ranks).cast("bigint").alias("tier"))
 
 
-@query("sentence_count", "select doc_id, len(list_filter(regexp_split_to_array(replace(replace(replace(replace(text, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), '। ', '।' || chr(1)), '[\\x01\\n]'), lambda s: trim(s) <> ''))::bigint as n from documents where text is not null and not regexp_matches(text, '[\\t\\r\\f\\x0b]|[.!?।]  ') and regexp_matches(text, '^[\\x00-\\x7f]*$')")
+@query("sentence_count", f"select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?।])[{_SQL_GAP}]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(s, '[^{_SQL_GAP}]')))::bigint as n from documents where text is not null")
 def sentence_count(spark, root):
-    plain = table(spark, root, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\t\r\f\x0b]|[.!?।]  ") & F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return plain.select("doc_id", F.size(evidence.sentences(F.col("text"))).cast("bigint").alias("n"))
-
-
-@query("sentence_count_all")
-def sentence_count_all(spark, root):
-    """The whole job: every text there is. The SQL of `sentence_count` states the split for plain ASCII texts only."""
     whole = table(spark, root, "documents").where(F.col("text").isNotNull())
     return whole.select("doc_id", F.size(evidence.sentences(F.col("text"))).cast("bigint").alias("n"))
 
 
+
+
+
 @query("phrase_matches", "select distinct doc_id, n_name as term from documents, (select distinct unnest(['causeway', 'beacon', 'winter count', 'north wall']) as n_name) where text is not null and regexp_matches(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{Nd}]+', ' ', 'g')) || ' ', ' ' || n_name || ' ')")
 def phrase_matches(spark, root):
     terms = spark.createDataFrame([(t,) for t in ("causeway", "beacon", "winter count", "north wall")], "term string")
@@ -373,20 +397,11 @@ def _cells(spark, root, fields: Callable[[DataFrame], DataFrame] = lambda c: c)
     return measured.unionByName(others).select(F.col("subject_id").alias("entity_id"), F.col("field").alias("name"), text.alias("value"), "value_num", "value_max", F.coalesce("tier", F.lit(3)).alias("tier"), F.col("source_id").alias("domain"), "fetched_at", F.col("candidate_id").alias("seq"))
 
 
-@query(
-    "conflict_trusted_first",
-    """with c as (select subject_id as entity_id, field as name, regexp_replace(regexp_replace(replace(replace(raw_value, chr(8203), ''), chr(65279), ''), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'), '^[ .,;:|\\-]+|[ .,;:|\\-]+$', '', 'g') as value, coalesce(tier, 3) as tier, candidate_id as seq from candidates
-    where raw_value is not null and field not in ('altitude_m', 'height', 'lifespan', 'min_temperature', 'seed_mass', 'area', 'elevation', 'mean_temperature', 'weight', 'spine_height', 'loan_period'))
-    select entity_id, name, arg_min(value, (tier, seq)) as value from c group by 1, 2""",
-)
-def conflict_trusted_first(spark, root):
-    texts = _cells(spark, root, lambda c: c.where(~F.col("field").isin(*core_problems.MEASURED)))
-    return conflict.resolved(texts, ["entity_id", "name"], "trusted_first").where("status = 'accepted'").select("entity_id", "name", "value")
 
 
-@query("conflict_trusted_all")
-def conflict_trusted_all(spark, root):
-    """The whole job: every field. The SQL of `conflict_trusted_first` leaves the measured ones out."""
+
+@query("conflict_trusted_first")
+def conflict_trusted_first(spark, root):
     out = conflict.resolved(_cells(spark, root), ["entity_id", "name"], "trusted_first")
     return out.where("status = 'accepted'").select("entity_id", "name", "value", "value_num", "value_max")
 
@@ -397,23 +412,53 @@ def conflict_majority(spark, root):
     return out.select("entity_id", "name", "group", "value", "confidence", "status")
 
 
+def _segments(spark, root) -> DataFrame:
+    """Customers as readings of their nation's market segment."""
+    c = table(spark, root, "customer")
+    none = F.lit(None).cast("double")
+    return c.select(F.col("c_nationkey").cast("bigint").alias("entity_id"), F.lit("segment").alias("name"), F.col("c_mktsegment").alias("value"), none.alias("value_num"), none.alias("value_max"), (F.col("c_custkey") % 4).cast("int").alias("tier"), F.concat(F.lit("d"), F.col("c_custkey") % 7).alias("domain"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("fetched_at"), F.col("c_custkey").cast("bigint").alias("seq"))
+
+
+@query("conflict_newest", "select c_nationkey::bigint as entity_id, arg_max(lower(c_mktsegment), c_custkey) as value from customer group by 1")
+def conflict_newest(spark, root):
+    return conflict.resolved(_segments(spark, root), ["entity_id", "name"], "newest").where("status = 'accepted'").select("entity_id", F.lower("value").alias("value"))
+
+
+@query(
+    "conflict_by_domains",
+    """with g as (select c_nationkey, lower(c_mktsegment) as value, count(distinct c_custkey % 7) as domains, min(c_custkey % 4) as tier, min((c_custkey % 4) * 1000000000 + c_custkey) as first from customer group by 1, 2)
+    select c_nationkey::bigint as entity_id, arg_min(value, (-domains, tier, first)) as value, max(domains) as domains from g group by 1""",
+)
+def conflict_by_domains(spark, root):
+    out = conflict.resolved(_segments(spark, root), ["entity_id", "name"], "majority").where("status = 'accepted'")
+    return out.select("entity_id", F.lower("value").alias("value"), F.size("domains").cast("bigint").alias("domains"))
+
+
+@query("held_back_values", "select candidate_id, case when raw_value is null then 'superseded' when coalesce(confidence, 0) < 0.6 then 'review' else 'accepted' end as status from candidates")
+def held_back_values(spark, root):
+    c = table(spark, root, "candidates").select("candidate_id", "confidence", F.when(F.col("raw_value").isNull(), "superseded").otherwise("accepted").alias("status"))
+    return conflict.held_back(c, 0.6).select("candidate_id", "status")
+
+
+@query("accepted_values", "select candidate_id from candidates where raw_value is not null and coalesce(confidence, 0) >= 0.8 and origin not in ('derived', 'inferred', 'default')")
+def accepted_values(spark, root):
+    c = table(spark, root, "candidates").withColumn("status", F.when(F.col("raw_value").isNull(), "superseded").otherwise("accepted"))
+    return V.accepted(c, 0.8, include_derived=False).select("candidate_id")
+
+
 # ------------------------------------------------------------------ entities
 @query("entity_block_keys", "select p_partkey, unnest(list_distinct(['a' || regexp_replace(k, '[^0-9]', '', 'g') || ':' || left(regexp_replace(k, '[^a-z]', '', 'g'), 3), 'z' || regexp_replace(k, '[^0-9]', '', 'g') || ':' || right(regexp_replace(k, '[^a-z]', '', 'g'), 3)])) as block from (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as k from part)")
 def entity_block_keys(spark, root):
     return table(spark, root, "part").select("p_partkey", F.explode(resolution.block_keys(standard.comparison_key(F.col("p_name")))).alias("block"))
 
 
-@query("entities_exact", "with k as (select entity_type, identity, candidate_id, trim(regexp_replace(lower(identity), '[^a-z0-9]+', ' ', 'g')) as key from candidates where identity is not null) select entity_type, arg_min(identity, candidate_id) as canonical_name, count(*) as rows from k where key <> '' group by entity_type, key")
+@query("entities_exact", f"with k as (select entity_type, identity, candidate_id, coalesce(nullif(trim(regexp_replace(lower(identity), '[^a-z0-9]+', ' ', 'g')), ''), lower({_sql_normal('identity')})) as key from candidates where identity is not null) select entity_type, arg_min(identity, candidate_id) as canonical_name, count(*) as rows from k group by entity_type, key")
 def entities_exact(spark, root):
-    rows = table(spark, root, "candidates").select("entity_type", "identity", F.col("candidate_id").alias("seq")).where(F.trim(F.regexp_replace(F.lower("identity"), "[^a-z0-9]+", " ")) != "")
+    rows = table(spark, root, "candidates").select("entity_type", "identity", F.col("candidate_id").alias("seq"))
     return resolution.resolve(rows, fuzzy=False).where("entity_id is not null").groupBy("entity_id", "entity_type", "canonical_name").agg(F.count("*").alias("rows")).select("entity_type", "canonical_name", "rows")
 
 
-@query("entities_exact_all")
-def entities_exact_all(spark, root):
-    """The whole job: names of every script. The SQL of `entities_exact` leaves out those without ASCII letters or digits."""
-    rows = table(spark, root, "candidates").select("entity_type", "identity", F.col("candidate_id").alias("seq")).where(standard.comparison_key(F.col("identity")) != "")
-    return resolution.resolve(rows, fuzzy=False).where("entity_id is not null").groupBy("entity_id", "entity_type", "canonical_name").agg(F.count("*").alias("rows")).select("entity_type", "canonical_name", "rows")
+
 
 
 @query("entities_fuzzy")
@@ -476,25 +521,26 @@ def source_health(spark, root):
     return out.select("domain", "pages", "values", "review", "superseded", F.col("best_tier").cast("bigint").alias("best_tier"))
 
 
-@query("gold_accuracy", "with f as (select subject_id, arg_min(lower(trim(raw_value)), candidate_id) as v from candidates where field = 'region' and raw_value is not null group by 1), g as (select subject_id, arg_max(lower(trim(raw_value)), candidate_id) as w from candidates where field = 'region' and raw_value is not null group by 1) select count(*) as total, count(v) as found, count(*) filter (v = w) as correct, count(*) filter (v <> w) as wrong from g left join f using (subject_id)")
+@query("gold_accuracy", "with f as (select subject_id, field, arg_min(lower(trim(raw_value)), candidate_id) as v from candidates where raw_value is not null group by 1, 2), g as (select subject_id, field, arg_max(lower(trim(coalesce(raw_value, ''))), candidate_id) as w from candidates group by 1, 2) select count(*) as total, count(v) as found, count(*) filter (v = w) as correct, count(*) filter (v <> w) as wrong, count(*) - count(v) as missing, round(100.0::double * count(v) / count(*), 1) as coverage, round(100.0::double * count(*) filter (v = w) / count(v), 1) as accuracy from g left join f using (subject_id, field)")
 def gold_accuracy(spark, root):
-    c = table(spark, root, "candidates").where("field = 'region' and raw_value is not null")
-    text = F.lower(F.trim("raw_value"))
-    found = c.groupBy("subject_id").agg(F.min_by(text, "candidate_id").alias("value"), F.max("confidence").alias("confidence"))
-    gold = c.groupBy("subject_id").agg(F.max_by(text, "candidate_id").alias("gold"))
-    return relations.gold_accuracy(found, gold, ["subject_id"], F.col("value") == F.col("gold")).select("total", "found", "correct", "wrong")
+    c = table(spark, root, "candidates")
+    text = F.lower(F.trim(F.coalesce("raw_value", F.lit(""))))
+    found = c.where("raw_value is not null").groupBy("subject_id", "field").agg(F.min_by(text, "candidate_id").alias("value"), F.max("confidence").alias("confidence"))
+    gold = c.groupBy("subject_id", "field").agg(F.max_by(text, "candidate_id").alias("gold"))
+    return relations.gold_accuracy(found, gold, ["subject_id", "field"], F.col("value") == F.col("gold")).drop("confident_accuracy")
 
 
-@query("declared_defaults", "with p as (select distinct subject_id from candidates where entity_type = 'plant'), h as (select distinct subject_id from candidates where field = 'family') select p.subject_id as entity_id, 'family' as name, 'unplaced' as value from p left join h using (subject_id) where h.subject_id is null")
+@query("declared_defaults", "with d(entity_type, name, value) as (values ('plant', 'family', 'unplaced'), ('place', 'region', 'nowhere'), ('book', 'author_name', 'anonymous')), e as (select distinct subject_id, entity_type from candidates) select e.subject_id as entity_id, d.name, d.value from e join d using (entity_type) where not exists (select 1 from candidates c where c.subject_id = e.subject_id and c.field = d.name)")
 def declared_defaults(spark, root):
     v = _values(spark, root)
     entities = v.select("entity_id", "entity_type").distinct()
-    return relations.with_defaults(v, entities, {("plant", "family"): "unplaced"}).where("origin = 'default'").select("entity_id", "name", "value")
+    given = {("plant", "family"): "unplaced", ("place", "region"): "nowhere", ("book", "author_name"): "anonymous"}
+    return relations.with_defaults(v, entities, given).where("origin = 'default'").select("entity_id", "name", "value")
 
 
-@query("latest_pages", "select url, arg_max(page_id, (fetched_at, content_hash, page_id)) as page_id from pages where url is not null and text is not null and fetched_at is not null group by 1")
+@query("latest_pages", "select url, arg_max(page_id, (fetched_at is not null, coalesce(fetched_at, ''), coalesce(content_hash, ''), page_id)) as page_id from pages group by 1")
 def latest_pages(spark, root):
-    p = table(spark, root, "pages").where("url is not null and text is not null and fetched_at is not null").withColumn("content_hash", F.concat("content_hash", F.lpad(F.col("page_id").cast("string"), 20, "0")))
+    p = table(spark, root, "pages").withColumn("content_hash", F.concat(F.coalesce("content_hash", F.lit("")), F.lpad(F.col("page_id").cast("string"), 20, "0")))
     return records.latest_pages(p).select("url", "page_id")
 
 
@@ -509,9 +555,9 @@ def page_relevance(spark, root):
     return table(spark, root, "pages").select("page_id", pages.relevance(F.col("title"), F.col("text"), ["winter", "scree"]).alias("relevance"))
 
 
-@query("content_hashes", "select page_id, left(sha256(text), 32) as hash from pages where text is not null")
+@query("content_hashes", "select page_id, left(sha256(text), 32) as hash from pages")
 def content_hashes(spark, root):
-    return table(spark, root, "pages").where("text is not null").select("page_id", F.left(F.sha2(F.encode("text", "UTF-8"), 256), F.lit(32)).alias("hash"))
+    return table(spark, root, "pages").select("page_id", F.left(F.sha2(F.encode("text", "UTF-8"), 256), F.lit(32)).alias("hash"))
 
 
 @query("parsed_pages")
@@ -526,15 +572,13 @@ def ranked_search(spark, root):
     return search.search(table(spark, root, "pages"), "winter count", limit=20)
 
 
-@query("term_index", "with w as (select page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{M}\\p{Nd}]+'), lambda x: x <> '')) as term, 4.0::double as w from pages where title is not null) select term, page_id, sum(w) as tf from w group by 1, 2")
+@query("term_index", """with c as (select page_id, title as t, 4.0::double as w from pages union all select page_id, description, 2.0 from pages union all select page_id, headings, 2.0 from pages union all select page_id, text, 1.0 from pages),
+    w as (select page_id, w, unnest(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{M}\\p{Nd}]+'), lambda x: x <> '')) as term from c where t is not null) select term, page_id, sum(w) as tf from w group by 1, 2""")
 def term_index(spark, root):
-    return search.build_index(table(spark, root, "pages"), columns={"title": 4.0})
+    return search.build_index(table(spark, root, "pages"))
+
 
 
-@query("term_index_all")
-def term_index_all(spark, root):
-    """The whole job: all four columns. The SQL of `term_index` is of titles."""
-    return search.build_index(table(spark, root, "pages"))
 
 
 @query("corpus_totals", "select count(*) as pages, count(distinct domain) as domains, sum(word_count)::bigint as words from pages")
@@ -553,6 +597,93 @@ def record_fields(spark, root):
     return records.record_rows(table(spark, root, "nation"), "nation", "n_nationkey")[1]
 
 
+@query("formula_numbers", "select p_partkey, coalesce(p_retailprice, 0) + p_size as total, (p_retailprice is not null)::int + (p_size is not null)::int as filled, floor(p_retailprice / 7) as low, ceil(p_retailprice / 7) as high, (p_size + p_retailprice) / 2 as middle, asin(p_size / 100.0) as a, acos(p_size / 100.0) as c, atan2(p_size, 3) as t from part")
+def formula_numbers(spark, root):
+    p = table(spark, root, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return formulas(p, ["p_partkey"], {"total": "sum(p_retailprice, p_size)", "filled": "count(p_retailprice, p_size)", "low": "floor(p_retailprice / 7)", "high": "ceil(p_retailprice / 7)", "middle": "midpoint(p_size, p_retailprice)", "a": "asin(p_size / 100)", "c": "acos(p_size / 100)", "t": "atan2(p_size, 3)"})
+
+
+@query("lookup_bands", "select p_partkey, p_size, case when p_size < 10 then 'small' when p_size < 30 then 'middle' else 'large' end as band, case when p_size < 10 then 's' when p_retailprice > 1500 then 'dear' else 'other' end as rule from part")
+def lookup_bands(spark, root):
+    p = table(spark, root, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    ds = [Derivation("band", method="lookup", inputs=("p_size",), cutoffs=(10, 30), labels=("small", "middle", "large")), Derivation("rule", method="rules", rules=(("p_size < 10", "'s'"), ("p_retailprice > 1500", "'dear'"), (None, "'other'")))]
+    return derive(p, ds).select("p_partkey", F.col("p_size").cast("int").alias("p_size"), "band", "rule")
+
+
+# ------------------------------------------------------------------ extraction and reports
+#: A project of the pages' own fields, for the queries of this part.
+_PROJECT = from_dict({"entities": {"entry": {"identity": "sheet", "fields": [{"name": "sheet", "extract": r"regex:\b\d{2,3}-\d{3}\b"}, {"name": "span", "multiple": True, "extract": r"regex:\b\d+ (?:m|km)\b"}]}}})
+
+
+@query(
+    "rule_candidates",
+    r"""with s as (select page_id, regexp_extract_all(coalesce(text, ''), '\b\d{2,3}-\d{3}\b') as sheets, regexp_extract_all(coalesce(text, ''), '(?i)\b\d+ (?:m|km)\b') as spans, headings, title from pages),
+    i as (select *, coalesce(sheets[1], nullif(""" + _sql_normal("split_part(coalesce(headings, ''), '|', 1)") + r""", ''), nullif(""" + _sql_normal("split_part(split_part(coalesce(title, ''), '|', 1), ' - ', 1)") + r""", '')) as identity from s)
+    select page_id, 'sheet' as field, sheets[1] as raw_value from i where len(sheets) > 0 and identity is not null union all select page_id, 'span', unnest(spans) from i where identity is not null""",
+)
+def rule_candidates(spark, root):
+    nothing = spark.createDataFrame([], "page_id bigint, name string, value string")
+    return extraction.by_rules(table(spark, root, "pages"), nothing, _PROJECT.primary).select("page_id", "field", "raw_value")
+
+
+@query("provenance_rows", "select c.subject_id as entity_id, c.field as name, c.raw_value as value, p.url, p.fetched_at from candidates c left join pages p using (page_id) where c.raw_value is not null")
+def provenance_rows(spark, root):
+    v = table(spark, root, "candidates").where("raw_value is not null").select(F.col("subject_id").alias("entity_id"), F.col("field").alias("name"), F.col("raw_value").alias("value"), "origin", "confidence", "tier", "quote", "page_id", F.lit("accepted").alias("status"))
+    return normal_forms.provenance(v, table(spark, root, "pages")).select("entity_id", "name", "value", "url", "fetched_at")
+
+
+@query("named_junction", "select distinct c_custkey::bigint as customer_id, c_nationkey::bigint as nation_id, n_name as nation_name from customer left join nation on n_nationkey = c_nationkey")
+def named_junction(spark, root):
+    pairs = table(spark, root, "customer").select(F.col("c_custkey").cast("bigint").alias("customer_id"), F.col("c_nationkey").cast("bigint").alias("nation_id"))
+    names = table(spark, root, "nation").select(F.col("n_nationkey").cast("bigint").alias("entity_id"), F.col("n_name").alias("canonical_name"))
+    return normal_forms.named_junction(pairs, names, "customer_id", "nation_id")
+
+
+@query("identifier_rows", "with n as (select subject_id as entity_id, lower(trim(identity)) as k from candidates where identity is not null union select c.subject_id, lower(trim(a.alias)) from candidates c join alias_candidates a on a.page_id = c.page_id and a.alias is not null), r as (select distinct alias as name, language as authority, alias_id as identifier from alias_candidates where alias is not null) select distinct entity_id, authority, identifier from n join r on lower(trim(r.name)) = n.k where n.k <> ''")
+def identifier_rows(spark, root):
+    c, a = table(spark, root, "candidates"), table(spark, root, "alias_candidates")
+    entities = c.select(F.col("subject_id").alias("entity_id"), F.col("identity").alias("canonical_name")).where("canonical_name is not null").distinct()
+    aliases = c.select(F.col("subject_id").alias("entity_id"), "page_id").distinct().join(a.where("alias is not null").select("page_id", "alias"), "page_id").select("entity_id", "alias")
+    registry = a.where("alias is not null").select(F.col("alias").alias("name"), F.col("language").alias("authority"), F.col("alias_id").alias("identifier"))
+    return normal_forms.identifiers(registry, entities, aliases)
+
+
+@query("held_back_sources", "select domain, tier::bigint as tier, count(*) as n, max(confidence) as confidence from candidates where raw_value is not null and coalesce(confidence, 0) < 0.5 group by 1, 2 order by n desc, domain nulls first, tier nulls first limit 3")
+def held_back_sources(spark, root):
+    c = table(spark, root, "candidates").select("domain", "tier", "confidence", F.when(F.col("raw_value").isNotNull() & (F.coalesce("confidence", F.lit(0.0)) < 0.5), "review").otherwise("accepted").alias("status"))
+    return report.held_back(c).withColumn("tier", F.col("tier").cast("bigint"))
+
+
+@query("rule_health", "select f.name, (select count(*) from pages) as tried, count(distinct p.page_id) as matched, max(p.fetched_at) as last_seen from (select distinct name from field_specs) f left join page_fields v on v.name = f.name and v.value is not null left join pages p on p.page_id = v.page_id group by 1")
+def rule_health(spark, root):
+    names = [n for n, _, _ in core_problems.field_specs(spark, root)]
+    return report.rule_health(table(spark, root, "pages"), table(spark, root, "page_fields"), names)
+
+
+@query("filled_fields", "select entity_type, field as name, count(distinct subject_id) as filled from candidates where raw_value is not null and coalesce(confidence, 0) >= 0.5 group by 1, 2")
+def filled_fields(spark, root):
+    return report.filled_fields(_values(spark, root))
+
+
+@query("top_fields", "select field as name, count(*) as n from candidates group by 1 order by n desc, name limit 10")
+def top_fields(spark, root):
+    return report.top_fields(_values(spark, root))
+
+
+@query("rejections", "select entity_type || '.' || field as what, case when quote is null or trim(quote) = '' then 'no quote' else 'low' end as reason, count(*) as n from candidates where coalesce(confidence, 0) < 0.5 and entity_type is not null and field is not null group by 1, 2 order by n desc, what, reason limit 6")
+def rejections(spark, root):
+    c = table(spark, root, "candidates").where("coalesce(confidence, 0) < 0.5 and entity_type is not null and field is not null")
+    return report.rejections(c.withColumn("reason", F.when(F.coalesce(F.trim("quote"), F.lit("")) == "", "no quote").otherwise("low")))
+
+
+@query("derived_lineage", "select p_partkey::bigint as entity_id, round(least(0.9, 0.5 + (p_size % 5) * 0.1)::double, 6) as confidence, (p_partkey::bigint * 2)::varchar || ',' || (p_partkey::bigint * 2 + 1)::varchar as inputs from part")
+def derived_lineage(spark, root):
+    p = table(spark, root, "part").select(F.col("p_partkey").cast("bigint").alias("entity_id"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    v = p.select("entity_id", F.inline(F.array(F.struct(F.lit("size").alias("name"), (F.col("entity_id") * 2).alias("value_id"), (0.5 + (F.col("size") % 5) * 0.1).alias("confidence")), F.struct(F.lit("price").alias("name"), (F.col("entity_id") * 2 + 1).alias("value_id"), F.lit(0.9).alias("confidence"))))).withColumns({"origin": F.lit("extracted"), "status": F.lit("accepted")})
+    ds = [Derivation("unit_price", "price / size")]
+    return derived_rows(derive(p, ds), v, ds, "part").select("entity_id", "confidence", F.array_join(F.transform("inputs", lambda i: i.cast("string")), ",").alias("inputs"))
+
+
 # ------------------------------------------------------------------ normal forms, SQL, windows
 @query("functional_dependencies", "select 'n_name' as dependent, bool_and(d = 1) as holds from (select n_nationkey, count(distinct n_name) as d from nation group by 1) union all select 'n_regionkey', bool_and(d = 1) from (select n_nationkey, count(distinct n_regionkey) as d from nation group by 1)")
 def functional_dependencies(spark, root):
