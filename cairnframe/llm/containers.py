@@ -92,7 +92,9 @@ def containers(items: DataFrame, capacity: int, item: str = "doc_id", size: str
         return b[[item, "copy", "part", size]].assign(container=[f"{x}-{w}" for x, w in zip(block, out)])
 
     kind = items.schema[item].dataType.simpleString()
-    open_ = map_groups(placed.where(F.col(size) < capacity), ["block"], [item, "copy", "part"], pack, f"`{item}` {kind}, copy bigint, part bigint, `{size}` bigint, container string")
+    # A block is little data but much work, so tasks are made by the number of blocks, not by bytes.
+    partitions = min(blocks, max(items.sparkSession.sparkContext.defaultParallelism * 2, -(-blocks // 32)))
+    open_ = map_groups(placed.where(F.col(size) < capacity), ["block"], [item, "copy", "part"], pack, f"`{item}` {kind}, copy bigint, part bigint, `{size}` bigint, container string", partitions)
     # A part that fills a container needs no packing; the container is named after it.
     full = placed.where(F.col(size) == capacity).select(item, "copy", "part", size, F.concat_ws("-", F.lit("full"), F.col(item), "copy", "part").alias("container"))
     return open_.unionByName(full)
