@@ -36,6 +36,14 @@ def test_furniture(spark):
     assert main_text.furniture_lines(pages.limit(0)).count() == 0
 
 
+def test_runs_unique_to_a_record_stay(spark):
+    # A title-less line stays unless each of its parts stands on a page of another record; copies of a record are no evidence.
+    shared = "Read the notice. By reading on you agree."
+    rows = [(i, "a.test", f"Rosa nova{chr(97 + i // 2)}", None, f"Rosa nova{chr(97 + i // 2)}\nIt grows on scree. Soil {chr(97 + i // 2)}q is thin.\n{shared}\nSee: Rosa nova{chr(97 + (i // 2 + 1) % 4)} and Rosa nova{chr(97 + (i // 2 + 2) % 4)}\n12-34: 5 m, sheet 12", None) for i in range(8)]
+    got = {(r.page_id, r.line_no) for r in main_text.furniture_lines(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {(i, k) for i in range(8) for k in (3, 4)}
+
+
 def test_masking():
     assert main_text.title_tokens("The Red Loom – the tome (12-3)") == ["the", "red", "loom"]
     assert main_text.masked("7 of the red loom 1 2 x".split(), ["the", "red", "loom"]) == ["#", "of", "<T>", "#", "x"]
