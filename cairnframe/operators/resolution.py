@@ -94,9 +94,9 @@ def resolve(candidates: DataFrame, aliases: DataFrame | None = None, identifiers
 
     Order of evidence: the same comparison key, a known alias (entity_type, alias, identity), the
     same registry identifier (entity_type, name, authority, identifier), a close earlier name. The
-    first spelling in `seq` names the entity. A null identity has no entity.
+    first spelling in `seq` names the entity. A null or blank identity has no entity.
     """
-    rows = candidates.withColumn("key", comparison_key(F.col("identity")))
+    rows = candidates.withColumn("key", F.nullif(comparison_key(F.col("identity")), F.lit("")))
     if aliases is not None:
         by_alias = aliases.select("entity_type", comparison_key(F.col("alias")).alias("key"), comparison_key(F.col("identity")).alias("_to")).where("key != _to").groupBy("entity_type", "key").agg(F.min("_to").alias("_to"))
         rows = rows.join(by_alias, ["entity_type", "key"], "left").withColumn("key", F.coalesce("_to", "key")).drop("_to")
@@ -105,7 +105,7 @@ def resolve(candidates: DataFrame, aliases: DataFrame | None = None, identifiers
         one = ids.groupBy("entity_type", "authority", "identifier").agg(F.min("key").alias("_to"))
         same = ids.join(one, ["entity_type", "authority", "identifier"]).groupBy("entity_type", "key").agg(F.min("_to").alias("_to"))
         rows = rows.join(same, ["entity_type", "key"], "left").withColumn("key", F.coalesce("_to", "key")).drop("_to")
-    known = rows.where(F.col("identity").isNotNull())
+    known = rows.where(F.col("key").isNotNull())
     roots = canonical_keys(known.select("entity_type", "key", "seq"), threshold, fuzzy)
     rooted = rows.join(roots, ["entity_type", "key"], "left")
     names = rooted.where("root is not null").groupBy("entity_type", "root").agg(F.min_by("identity", "seq").alias("canonical_name"))

@@ -452,7 +452,7 @@ def entity_block_keys(spark, root):
     return table(spark, root, "part").select("p_partkey", F.explode(resolution.block_keys(standard.comparison_key(F.col("p_name")))).alias("block"))
 
 
-@query("entities_exact", f"with k as (select entity_type, identity, candidate_id, coalesce(nullif(trim(regexp_replace(lower(identity), '[^a-z0-9]+', ' ', 'g')), ''), lower({_sql_normal('identity')})) as key from candidates where identity is not null) select entity_type, arg_min(identity, candidate_id) as canonical_name, count(*) as rows from k group by entity_type, key")
+@query("entities_exact", f"with k as (select entity_type, identity, candidate_id, coalesce(nullif(trim(regexp_replace(lower(identity), '[^a-z0-9]+', ' ', 'g')), ''), lower({_sql_normal('identity')})) as key from candidates where identity is not null) select entity_type, arg_min(identity, candidate_id) as canonical_name, count(*) as rows from k where key <> '' group by entity_type, key")
 def entities_exact(spark, root):
     rows = table(spark, root, "candidates").select("entity_type", "identity", F.col("candidate_id").alias("seq"))
     return resolution.resolve(rows, fuzzy=False).where("entity_id is not null").groupBy("entity_id", "entity_type", "canonical_name").agg(F.count("*").alias("rows")).select("entity_type", "canonical_name", "rows")
