@@ -3,18 +3,11 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from functools import lru_cache
 
-# Devanagari letters as Latin letters.
-CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ", "k kh g gh n ch chh j jh n t th d dh n t th d dh n p f b bh m y r l v sh sh s h l".split()))
-VOWELS = dict(zip("अआइईउऊएऐओऔऋ", "a a i i u u e ai o au ri".split()))
-MATRAS = dict(zip("ािीुूेैोौृ", "a i i u u e ai o au ri".split()))
-NUKTA = {"j": "z", "d": "r", "dh": "rh", "f": "f", "k": "k", "g": "g"}
-# Cyrillic letters as Latin letters, and Latin letters that do not decompose.
-CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i i k l m n o p r s t u f kh ts ch sh shch  y  e yu ya".split(" ")))
-PLAIN = str.maketrans({"ø": "o", "æ": "ae", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "œ": "oe", "ı": "i", "ß": "ss", **CYRILLIC})
+from cairnframe.functions.latin import latin
+
 # Words that do not tell names apart.
 FILLERS = frozenset("the a an of and that cf ex aff sp entry sheet page herbarium".split())
 
@@ -22,43 +15,6 @@ BINOMIAL = re.compile(r"^([^\W\d_a-z][^\W\d_]*\.? [a-z]{3,}) (?:[(A-Z&]|ex ).*$"
 WIDTH = 128
 
 
-def _devanagari(s: str) -> str:
-    out, i = [], 0
-    while i < len(s):
-        c = s[i]
-        i += 1
-        if c in CONSONANTS:
-            letter = CONSONANTS[c]
-            if s[i : i + 1] == "़":
-                letter = NUKTA.get(letter, letter)
-                i += 1
-            out.append(letter)
-            # A vowel sign or virama replaces the inherent vowel; at a word's end there is none.
-            if s[i : i + 1] == "्":
-                i += 1
-            elif s[i : i + 1] in MATRAS and s[i : i + 1]:
-                out.append(MATRAS[s[i]])
-                i += 1
-            elif s[i : i + 1] in CONSONANTS and s[i : i + 1]:
-                out.append("a")
-        elif c in VOWELS or c in MATRAS:
-            out.append(VOWELS.get(c) or MATRAS[c])
-        elif c in "ंँ":
-            out.append("n")
-        elif c not in "़्":
-            out.append(c)
-    return "".join(out)
-
-
-def latin(text: str) -> str:
-    """Lower-case Latin letters of a text in Latin, Cyrillic or Devanagari script; other signs stay."""
-    s = unicodedata.normalize("NFKC", text).casefold()
-    s = unicodedata.normalize("NFD", s)
-    if any("ऀ" <= c <= "ॿ" for c in s):
-        s = _devanagari(s)
-    return "".join(c for c in s if not unicodedata.combining(c)).translate(PLAIN)
-
-
 def sound(word: str) -> str:
     """A word with letters of one sound written one way and doubled letters single."""
     w = word.replace("qu", "ku").replace("c", "k").replace("q", "k").replace("x", "ks").replace("w", "v")

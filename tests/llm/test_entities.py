@@ -80,3 +80,25 @@ def test_fusion_discounts_copies(spark):
     assert all(got[i].value == f"t{i}" for i in range(60))
     assert got[99].value == "x" and 98 not in got
     assert survivors.fused_values(df.limit(0), ["item"], "src", "val", "at").count() == 0
+
+
+def test_fusion_with_many_sources_and_copiers(spark):
+    # Forty honest sources of accuracy 0.8, and twelve that copy the errors of one bad source; two items of every ten are told by the ring and two honest ones only.
+    import random
+
+    rng, rows, truth = random.Random(11), [], {}
+    for i in range(300):
+        truth[i] = f"t{i}"
+        honest = rng.sample(range(40), 2 if i % 10 < 2 else 9)
+        rows += [(i, f"h{k:02d}", truth[i] if rng.random() < 0.8 else f"e{i}-{rng.randrange(20)}", rng.randrange(100)) for k in honest]
+        lie = truth[i] if rng.random() < 0.1 else f"lie{i}"
+        rows += [(i, "bad", lie, 50)] + [(i, f"ring{k:02d}", lie, 60 + k) for k in range(12) if rng.random() < 0.35]
+    df = spark.createDataFrame(rows, "item bigint, src string, val string, at bigint")
+    got = {r.item: r.value for r in survivors.fused_values(df, ["item"], "src", "val", "at").collect()}
+    votes = {}
+    for i, _, v, _ in rows:
+        votes.setdefault(i, {}).setdefault(v, 0)
+        votes[i][v] += 1
+    plain = sum(max(sorted(c), key=c.get) == truth[i] for i, c in votes.items())
+    fused = sum(got[i] == truth[i] for i in truth)
+    assert fused >= 0.93 * len(truth) and fused > plain
