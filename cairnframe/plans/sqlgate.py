@@ -31,3 +31,24 @@ def query(spark: SparkSession, text: str, views: dict[str, DataFrame]) -> DataFr
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text)
+
+
+def shown(df: DataFrame, form: str = "table", most: int = 1000) -> str:
+    """The first `most` rows of a result as a text table, JSON lines or CSV, for reading."""
+    import csv
+    import io
+    import json
+
+    rows, columns = df.limit(most).collect(), df.columns
+    if form == "json":
+        return "\n".join(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in rows)
+    texts = [["" if v is None else str(v) for v in r] for r in rows]
+    if form == "csv":
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([columns, *texts])
+        return out.getvalue().rstrip("\n")
+    if form != "table":
+        raise ValueError(f"a result can be shown as table, json or csv, not {form!r}")
+    widths = [max(len(c), *[len(t[i]) for t in texts], 1) for i, c in enumerate(columns)]
+    line = lambda cells: "  ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip()
+    return "\n".join([line(columns), line(["-" * w for w in widths]), *[line(t) for t in texts]])

@@ -52,3 +52,50 @@ def _one(spec: Spec, e: EntitySpec, name: str, have: list[str]) -> Suggestion |
         if far and far in name and any(w in name for w in ("count", "number", "total")):
             return Suggestion(e.name, name, f"count({far} via {r})", True)
     return None
+
+
+#: The columns of stored suggestions.
+STORED = "entity string, field string, formula string, safe boolean, status string"
+
+
+def stored(spark, new: list[Suggestion], before=None):
+    """Stored suggestions with new ones as pending; what was decided about the same field stays decided."""
+    fresh = spark.createDataFrame([(s.entity, s.field, s.formula, s.safe, "pending") for s in new], STORED)
+    if before is None:
+        return fresh
+    decided = before.where("status <> 'pending'")
+    return decided.unionByName(fresh.join(decided.select("entity", "field"), ["entity", "field"], "left_anti"))
+
+
+def decided(suggestions_, entity: str, field: str, status: str):
+    """Stored suggestions with one approved or rejected."""
+    from pyspark.sql import functions as F
+
+    if status not in ("approved", "rejected"):
+        raise ValueError(f"unknown decision {status!r}")
+    mine = (F.col("entity") == entity) & (F.col("field") == field)
+    return suggestions_.withColumn("status", F.when(mine, status).otherwise(F.col("status")))
+
+
+def applied(new: list[Suggestion], policy: str) -> tuple[list[Suggestion], list[Suggestion]]:
+    """(to apply, to ask about) under a policy: auto_safe applies safe ones, suggest asks about all, off forgets them."""
+    if policy not in ("auto_safe", "suggest", "off"):
+        raise ValueError(f"unknown policy {policy!r}")
+    if policy == "off":
+        return [], []
+    now = [s for s in new if s.safe] if policy == "auto_safe" else []
+    return now, [s for s in new if s not in now]
+
+
+def with_derivation(text: str, entity: str, name: str, formula: str) -> str:
+    """A project file's text with one more derived column; everything else, comments too, stays as it is."""
+    lines, quoted = text.splitlines(), '"' + formula.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    indent = lambda i: len(lines[i]) - len(lines[i].lstrip())
+    top = next((i for i, x in enumerate(lines) if x.split("#")[0].rstrip() == "derived:"), None)
+    if top is None:
+        return "\n".join([*lines, "derived:", f"  {entity}:", f"    {name}: {quoted}"]) + "\n"
+    end = next((i for i in range(top + 1, len(lines)) if lines[i].strip() and not lines[i].lstrip().startswith("#") and indent(i) == 0), len(lines))
+    at = next((i for i in range(top + 1, end) if lines[i].split("#")[0].strip() == f"{entity}:"), None)
+    if at is None:
+        return "\n".join([*lines[: top + 1], f"  {entity}:", f"    {name}: {quoted}", *lines[top + 1 :]]) + "\n"
+    return "\n".join([*lines[: at + 1], " " * (indent(at) + 2) + f"{name}: {quoted}", *lines[at + 1 :]]) + "\n"
