@@ -24,24 +24,29 @@ SPEC = {
 }
 
 
+def run(spark, n: int) -> float:
+    """Seconds from a CSV file of `n` rows to tables and provenance on disk; names are matched as a project's are."""
+    folder = tempfile.mkdtemp(prefix="bench-")
+    rows = spark.range(n).select(F.concat(F.lit("S-"), "id").alias("shop_id"), F.concat(F.lit("Shop number "), "id").alias("name"), (F.col("id") * 7919 % 100003 / 10).cast("string").alias("price"), F.concat((F.col("id") % 900).cast("string"), F.lit(" ft")).alias("height"), (1900 + F.col("id") % 120).cast("string").alias("opened"), F.concat(F.lit("kind "), F.col("id") % 9).alias("kind"), (F.col("id") % 6).cast("string").alias("rating"))
+    rows.write.option("header", True).csv(f"{folder}/in")
+    start = time.perf_counter()
+    project = spec.from_dict(SPEC)
+    read = spark.read.option("header", True).csv(f"{folder}/in")
+    fields = [f.name for f in project.primary.fields]
+    long = read.select("shop_id", *[F.col(f).alias(f"_{f}") for f in fields]).unpivot(["shop_id"], [f"_{f}" for f in fields], "name", "raw_value").where("raw_value is not null")
+    candidates = long.select(F.lit("shop").alias("entity_type"), F.col("shop_id").alias("identity"), F.expr("substring(name, 2)").alias("name"), "raw_value", F.lit(0).alias("tier"), F.lit("shops.csv").alias("domain"), F.lit("2024-01-01").alias("fetched_at"), F.lit("extracted").alias("origin"), F.xxhash64("shop_id").alias("seq"))
+    d = build.build(candidates, project)
+    export.write_all(d.tables, f"{folder}/out", ["csv"])
+    export.write_csv(d.values.select("entity_type", "entity_id", "name", "value", "domains", "confidence", "status"), f"{folder}/provenance.csv")
+    took = time.perf_counter() - start
+    shutil.rmtree(folder)
+    return round(took, 1)
+
+
 def main() -> None:
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "16g", "bench_build")
     spark.sparkContext.setLogLevel("ERROR")
-    took = {}
-    for n in map(int, os.environ.get("BENCH_ROWS", "20000,100000,500000").split(",")):
-        folder = tempfile.mkdtemp(prefix="bench-")
-        rows = spark.range(n).select(F.concat(F.lit("S-"), "id").alias("shop_id"), F.concat(F.lit("Shop number "), "id").alias("name"), (F.col("id") * 7919 % 100003 / 10).cast("string").alias("price"), F.concat((F.col("id") % 900).cast("string"), F.lit(" ft")).alias("height"), (1900 + F.col("id") % 120).cast("string").alias("opened"), F.concat(F.lit("kind "), F.col("id") % 9).alias("kind"), (F.col("id") % 6).cast("string").alias("rating"))
-        rows.write.option("header", True).csv(f"{folder}/in")
-        start = time.perf_counter()
-        read = spark.read.option("header", True).csv(f"{folder}/in")
-        fields = [f.name for f in spec.from_dict(SPEC).primary.fields]
-        long = read.select("shop_id", *[F.col(f).alias(f"_{f}") for f in fields]).unpivot(["shop_id"], [f"_{f}" for f in fields], "name", "raw_value").where("raw_value is not null")
-        candidates = long.select(F.lit("shop").alias("entity_type"), F.col("shop_id").alias("identity"), F.expr("substring(name, 2)").alias("name"), "raw_value", F.lit(0).alias("tier"), F.lit("shops.csv").alias("domain"), F.lit("2024-01-01").alias("fetched_at"), F.lit("extracted").alias("origin"), F.xxhash64("shop_id").alias("seq"))
-        d = build.build(candidates, spec.from_dict(SPEC), fuzzy=False)
-        export.write_all(d.tables, f"{folder}/out", ["csv"])
-        export.write_csv(d.values.select("entity_type", "entity_id", "name", "value", "domains", "confidence", "status"), f"{folder}/provenance.csv")
-        took[str(n)] = round(time.perf_counter() - start, 1)
-        shutil.rmtree(folder)
+    took = {str(n): run(spark, n) for n in map(int, os.environ.get("BENCH_ROWS", "20000,100000,500000").split(","))}
     print(json.dumps({"metric": "build_export_seconds", "rows": took, "unit": "sec"}))
     spark.stop()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,6 +28,7 @@ class Parsed(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.meta, self.headings, self.links, self.structured = {}, [], [], []
         self.title, self.lang, self.out, self.dropped = "", None, [], 0
+        self.open, self.depth = [], Counter()
         self.grabbing, self.grabbed = None, []
 
     def handle_starttag(self, tag, attrs):
@@ -39,8 +41,10 @@ class Parsed(HTMLParser):
             self.links.append(a["href"])
         if tag in ("title", "h1", "h2", "h3") or tag == "script" and a.get("type") == "application/ld+json":
             self.grabbing, self.grabbed = tag, []
-        if tag in DROPPED and tag not in VOID:
-            self.dropped += 1
+        if tag not in VOID:
+            self.open.append(tag)
+            self.depth[tag] += 1
+            self.dropped += tag in DROPPED
         if tag in BREAKS:
             self.out.append("\n")
 
@@ -54,8 +58,13 @@ class Parsed(HTMLParser):
             elif text and len(self.headings) < 50:
                 self.headings.append(text)
             self.grabbing = None
-        if tag in DROPPED and self.dropped:
-            self.dropped -= 1
+        # The end of an element ends what was left open inside it; an end without a beginning ends nothing.
+        ends = self.depth[tag] > 0
+        while ends:
+            inner = self.open.pop()
+            self.depth[inner] -= 1
+            self.dropped -= inner in DROPPED
+            ends = inner != tag
         if tag in BREAKS:
             self.out.append("\n")
 

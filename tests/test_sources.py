@@ -69,3 +69,11 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted(got) == ["a", "b"]
     assert {(r.k, r.n, r.total) for r in landing.windowed(df, "ts", ["k"], "1 hour").collect()} == {("a", 2, 3.0), ("b", 1, 3.0)}
+
+
+def test_an_unclosed_menu_ends_with_its_parent():
+    from cairnframe.operators.pages import Parsed
+
+    page = Parsed()
+    page.feed("<body><div><nav><ul><li>menu</div><p>kept</aside> too<p>and <nav>x</nav>this</body>")
+    assert page.text() == "kept too\nand this"
