@@ -50,7 +50,7 @@ class Model:
 
     `same` is the chance that two descriptions of one thing agree in an attribute that both give;
     `selective` the least information, in nats, of a pair of attribute chunks that serves as an
-    index; `hot` the size beyond which an index cell is divided by a further attribute where every
+    index (less where a type has so few subjects that a cell of less holds three by chance); `hot` the size beyond which an index cell is divided by a further attribute where every
     match in it must agree in one, or else met in blocks of about `block` rows.
     """
 
@@ -209,6 +209,8 @@ class Index:
             for k, f in enumerate(fs):
                 self.gain[t, k], self.loss[t, k] = weights[self.kinds[t]].get(k, (0.0, 0.0))
                 self.steps[t, k] = _steps(f) if f.kind in ("number", "degree") else 0
+        # Few subjects need less to be told apart: a cell may hold about three by chance, however few there are.
+        self.selective = np.minimum(model.selective, np.log(self.size / 3))
         # What attributes must tell of a match: alone with names that are merely close, and beside any evidence.
         self.prior = np.log(self.size) + odds
         self.apart = self.prior - CLOSE
@@ -233,7 +235,7 @@ class Index:
             for t in range(len(self.kinds)):
                 for i in range(10):
                     for j in range(i + 1, 10):
-                        if not self.gain[t, i] or not self.gain[t, j] or self.gain[t, i] + self.gain[t, j] < self.model.selective:
+                        if not self.gain[t, i] or not self.gain[t, j] or self.gain[t, i] + self.gain[t, j] < self.selective[t]:
                             continue
                         at = np.flatnonzero((kinds == t) & (codes[:, i] > 0) & (codes[:, j] > 0))
                         for g in self.grids(t, i):
@@ -251,7 +253,7 @@ class Index:
             for t in range(len(self.kinds)):
                 for k in range(10):
                     if self.gain[t, k] and not self.steps[t, k]:
-                        at = np.flatnonzero((kinds == t) & (codes[:, k] > 0) & (told + self.gain[t, k] >= self.model.selective))
+                        at = np.flatnonzero((kinds == t) & (codes[:, k] > 0) & (told + self.gain[t, k] >= self.selective[t]))
                         key = _mix(np.full(len(at), 1_000_000 + t * 10 + k), b["word"].to_numpy(np.int64)[at], codes[at, k])
                         out.append(b.iloc[at][CARRIED].assign(key=key, used=np.int64(1 << k)))
             if out:
