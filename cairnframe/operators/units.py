@@ -10,17 +10,19 @@ is a change of unit and is reversed.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import os
+import pickle
+import tempfile
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnframe.functions.quantity import Units
-from cairnframe.operators.groups import map_groups, starts
-from cairnframe.session import cut, few_bytes
+from cairnframe.operators.groups import starts
 
 def unit_rows(units: DataFrame) -> list[tuple]:
     """The unit table on the driver. It is a reference table; more than 100,000 rows are refused."""
@@ -88,32 +90,69 @@ def with_numbers(rows: DataFrame, units: DataFrame, keep: list[str], value: str
 
 
 def changepoints(values: np.ndarray, penalty: float) -> list[int]:
-    """Ends of the segments of the exact penalised least-squares segmentation (PELT).
+    """Ends of the segments of the exact penalised least-squares segmentation.
 
     Minimises the sum over segments of squared distances to the segment's mean plus `penalty`
-    per segment; candidates that can never win again are pruned, which loses no optimum.
+    per segment; see `Search`.
     """
     return _segment(np.ones(len(values)), values, values**2, penalty)
 
 
+class Search:
+    """`changepoints` of a stream: nothing but the starts that can still win is held.
+
+    Functional pruning: every start of the last segment keeps the levels (intervals of the
+    segment's mean) at which it costs less than all others. One without any level can never win
+    again, so no optimum is lost; a few starts are left at any time, however long the stream.
+    """
+
+    def __init__(self, penalty: float):
+        self.penalty, self.at, self.size, self.total, self.square = penalty, 0, 0.0, 0.0, 0.0
+        # A start: cost before it, sums before it, place; then the mean, and the radius of its levels, of the present step.
+        self.starts = [[0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0]]
+        self.pieces = [(-math.inf, math.inf, self.starts[0])]
+
+    def add(self, count: float, total: float, square: float) -> int:
+        """Where the last segment begins in the best segmentation up to this item, which stands for `count` values."""
+        size, sum_, squares = self.size + count, self.total + total, self.square + square
+        self.at, self.size, self.total, self.square = self.at + 1, size, sum_, squares
+        best, first = math.inf, 0
+        for x in self.starts:
+            n, s = size - x[1], sum_ - x[2]
+            x[5] = s / n
+            x[6] = x[0] + max(squares - x[3] - s * x[5], 0.0)
+            if x[6] < best:
+                best, first = x[6], x[4]
+        limit = best + self.penalty
+        for x in self.starts:
+            x[6] = math.sqrt((limit - x[6]) / (size - x[1])) if x[6] <= limit else -1.0
+        new = [limit, size, sum_, squares, self.at, 0.0, 0.0]
+        pieces, free = [], None
+        for lo, hi, x in self.pieces:
+            a, b = max(lo, x[5] - x[6]), min(hi, x[5] + x[6])
+            if x[6] < 0 or a >= b:
+                free = lo if free is None else free
+                continue
+            if free is not None or a > lo:
+                pieces.append((lo if free is None else free, a, new))
+            pieces.append((a, b, x))
+            free = b if b < hi else None
+        if free is not None:
+            pieces.append((free, math.inf, new))
+        self.pieces = pieces
+        alive = {id(x): x for _, _, x in pieces}
+        self.starts = sorted(alive.values(), key=lambda x: x[4])
+        return first
+
+
 def _segment(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, penalty: float) -> list[int]:
     """`changepoints` of items that each stand for `counts` values of the given sums, which stay together."""
-    n = len(counts)
-    if n == 0:
-        return []
-    size, total, square = (np.concatenate([[0.0], np.cumsum(x)]) for x in (counts, sums, squares))
-    best, last = np.empty(n + 1), np.zeros(n + 1, dtype=np.int64)
-    best[0], alive = -penalty, np.array([0])
-    for t in range(1, n + 1):
-        cost = np.maximum(square[t] - square[alive] - (total[t] - total[alive]) ** 2 / (size[t] - size[alive]), 0.0)
-        through = best[alive] + cost
-        k = int(np.argmin(through))
-        best[t], last[t] = through[k] + penalty, alive[k]
-        alive = np.append(alive[through <= best[t]], t)
-    ends, t = [], n
+    search = Search(penalty)
+    came = [search.add(*x) for x in zip(counts.tolist(), sums.tolist(), squares.tolist())]
+    ends, t = [], len(came)
     while t:
         ends.append(t)
-        t = int(last[t])
+        t = came[t - 1]
     return ends[::-1]
 
 
@@ -129,41 +168,79 @@ def reversal(shift: float, ratios: np.ndarray, tolerance: float) -> float:
     return math.exp(ratios[k]) if known else 1.0
 
 
-def settled(mids: list[float], said: list[int], level: float, ratios: np.ndarray, tolerance: float) -> tuple[list[float], float]:
-    """The factor of each of several segments that follow one another, and the level that they leave.
+class History:
+    """One history's readings as they come in time order, and then the factor of each; a reading takes 40 bytes in `arrays`."""
 
-    `level` is that of the segment before them, in the base unit. A segment that states its unit
-    sets the level. One that is off by a known ratio (within `tolerance` in natural logarithms) is
-    brought back by it; any other shift is a real change, and its level is the next one's measure.
-    """
-    out = []
-    for mid, states in zip(mids, said):
-        factor = 1.0 if states else reversal(level - mid, ratios, tolerance)
-        if factor == 1.0:
-            level = mid
-        out.append(factor)
-    return out, level
+    def __init__(self, penalty: float):
+        self.search, self.first, self.total, self.said = Search(penalty), None, 0.0, 0
 
+    def add(self, values: np.ndarray, stated: np.ndarray) -> np.ndarray:
+        """Of each usable reading where its last segment begins so far, and the running sums of logarithms and of stated readings."""
+        usable = np.isfinite(values) & (values > 0)
+        logs = np.log(values[usable])
+        if self.first is None and len(logs):
+            self.first = float(logs[0])
+        out = np.empty(len(logs), dtype=[("came", "i8"), ("total", "f8"), ("said", "i8")])
+        for i, (x, states) in enumerate(zip(logs.tolist(), stated[usable].tolist())):
+            x -= self.first
+            self.total, self.said = self.total + x, self.said + states
+            out[i] = self.search.add(1.0, x, x * x), self.total, self.said
+        return out
 
-def undo_unit_changes(values: np.ndarray, stated: np.ndarray, factors: np.ndarray, penalty: float, tolerance: float) -> np.ndarray:
-    """The factor by which each reading of a history, in time order, must be multiplied.
 
-    The search begins at the first segment that holds stated readings, in their absence at the
-    longest (ties: the earliest), and goes from there to both ends; see `settled`.
+def settled(arrays: np.ndarray, onto: np.ndarray, out: np.ndarray, factors: np.ndarray, tolerance: float) -> None:
+    """Writes into `out` the factor by which each usable reading of a history must be multiplied.
+
+    `arrays` are those of `History`; `onto` is room for the segments' ends. From the first segment
+    that holds stated readings, in their absence the longest (ties: the earliest), levels go to
+    both ends. A segment that states its unit sets the level. One that is off by a known ratio
+    (within `tolerance` in natural logarithms) is brought back by it; any other shift is a real
+    change, and its level is the next one's measure.
     """
+    arrays, ratios = np.asarray(arrays), log_ratios(factors)
+    came, total, said = arrays["came"], arrays["total"], arrays["said"]
+
+    def facts(a: int, b: int) -> tuple[float, bool]:
+        return float(total[b - 1] - (total[a - 1] if a else 0.0)) / (b - a), bool(said[b - 1] > (said[a - 1] if a else 0))
+
+    b = len(came)
+    while b:
+        a = int(came[b - 1])
+        onto[a], b = b, a
+    start, longest, a = 0, 0, 0
+    while a < len(came):
+        b = int(onto[a])
+        if facts(a, b)[1]:
+            start = a
+            break
+        if b - a > longest:
+            start, longest = a, b - a
+        a = b
+    for ahead in (True, False):
+        a, b = start, int(onto[start])
+        level = facts(a, b)[0]
+        while True:
+            mid, states = facts(a, b)
+            factor = 1.0 if states else reversal(level - mid, ratios, tolerance)
+            if factor == 1.0:
+                level = mid
+            out[a:b] = factor
+            if ahead and b < len(came):
+                a, b = b, int(onto[b])
+            elif not ahead and a:
+                a, b = int(came[a - 1]), a
+            else:
+                break
+
+
+def undo_unit_changes(values: np.ndarray, stated: np.ndarray, factors: np.ndarray, penalty: float, tolerance: float) -> np.ndarray:
+    """The factor by which each reading of a history, in time order, must be multiplied; see `settled`."""
     out = np.ones(len(values))
-    usable = np.isfinite(values) & (values > 0)
-    if usable.sum() < 2:
-        return out
-    logs, where = np.log(values[usable]), np.flatnonzero(usable)
-    ratios, start, parts = log_ratios(factors), 0, []
-    for end in changepoints(logs, penalty):
-        parts.append((start, end, float(logs[start:end].mean()), int(stated[where[start:end]].sum())))
-        start = end
-    k = min(range(len(parts)), key=lambda i: (not parts[i][3], i if parts[i][3] else parts[i][0] - parts[i][1], i))
-    for way in (parts[k:], parts[:k][::-1]):
-        for (a, b, _, _), factor in zip(way, settled([p[2] for p in way], [p[3] for p in way], parts[k][2], ratios, tolerance)[0]):
-            out[where[a:b]] = factor
+    arrays = History(penalty).add(values, stated)
+    if len(arrays) > 1:
+        shift = np.ones(len(arrays))
+        settled(arrays, np.zeros(len(arrays), dtype=np.int64), shift, factors, tolerance)
+        out[np.isfinite(values) & (values > 0)] = shift
     return out
 
 
@@ -180,14 +257,12 @@ def unit_histories(rows: DataFrame, units: DataFrame, by: list[str], row_id: str
     Returns `by`, `row_id`, `base_unit`, `value`, `unit_shift`, `stated`, and of stated rows
     `lo_micro` and `hi_micro`.
 
-    A history of at most `window` readings is searched whole. Longer ones are searched in pieces
-    of at most `window` readings, cut by their number in a range-partitioned order, so that
-    neither a hot history nor equal or null times swell a task. The pieces' segments, and one by
-    one the `margin` readings at both ends of a piece, are then searched again as weighted items
-    until each history is one piece (or no longer shrinks, having a real change every few
-    readings), so changes are found across the cuts; levels are carried over whole histories. A
-    level shift of more than 2·√(penalty/`margin`) – 0.18, under half the smallest ratio of two
-    usual units – is thus found wherever the cuts fall.
+    Every history is searched whole, by one exact search over its readings in time order, however
+    many there are. The search needs what came before, so a history is one task's work; it streams
+    through that task: of one of more than `window` readings what was read is put down on the
+    worker's local disk until the last reading has come, so neither a hot history nor equal or
+    null times swell memory. `window` sets where readings wait, no result; `margin` is without
+    effect and only accepted.
     """
     known = unit_rows(units)
     logs = {}
@@ -207,153 +282,109 @@ def unit_histories(rows: DataFrame, units: DataFrame, by: list[str], row_id: str
                 else:
                     plain = table.read(x[0])
                     bare = plain is not None and plain[0] != "sum" and plain[2] is None and not plain[5]
-                    got.append((None, None, (plain[0] + plain[1]) / 2, False, None, None) if bare else None)
+                    got.append((None, None, (plain[0] + plain[1]) / 2, False, 0, 0) if bare else None)
             hit = [i for i, g in enumerate(got) if g]
             out = b[[*by, row_id, at]].iloc[hit].reset_index(drop=True)
-            for k, (name, kind) in enumerate((("quantity", "object"), ("base_unit", "object"), ("number", "float64"), ("stated", "bool"), ("lo_micro", "Int64"), ("hi_micro", "Int64"))):
+            for k, (name, kind) in enumerate((("quantity", "object"), ("base_unit", "object"), ("number", "float64"), ("stated", "bool"), ("lo_micro", "int64"), ("hi_micro", "int64"))):
                 out[name] = pd.Series([got[i][k] for i in hit], dtype=kind)
             yield out
 
     types = {c: rows.schema[c].dataType.simpleString() for c in [*by, row_id, at]}
     kept = ", ".join(f"`{c}` {types[c]}" for c in [*by, row_id, at])
     read_ = "quantity string, base_unit string, number double, stated boolean, lo_micro bigint, hi_micro bigint"
-    readings = cut(
+    readings = (
         rows.select(*dict.fromkeys([*by, row_id, at, value, unit, quote]))
         .where(F.col(value).rlike(r"[\p{Nd}½¼¾⅓⅔⅛⅜⅝⅞]"))
         .mapInPandas(number, f"{kept}, {read_}")
     )
     facts = ["base_unit", "value", "unit_shift", "stated", "lo_micro", "hi_micro"]
 
-    def repair(b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    def told(b: pd.DataFrame, base: np.ndarray, shift: np.ndarray) -> pd.DataFrame:
+        return b[[*by, row_id, "stated", "lo_micro", "hi_micro"]].assign(base_unit=base, value=b["number"].to_numpy(float) * shift, unit_shift=shift)[[*by, row_id, *facts]]
+
+    def repair(b: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
         number, stated, quantity, base = b["number"].to_numpy(float), b["stated"].to_numpy(bool), b["quantity"].to_numpy(), b["base_unit"].to_numpy(object, copy=True)
         shift = np.ones(len(b))
-        for i, j in zip(starts, [*starts[1:], len(b)]):
+        for i, j in zip(first, [*first[1:], len(b)]):
             if not stated[i:j].all():
-                base[i:j][~stated[i:j]] = _most(base[i:j])
+                kind, base[i:j][~stated[i:j]] = _most(_counted(quantity[i:j])), _most(_counted(base[i:j]))
                 if j - i > 1:
-                    shift[i:j] = np.where(stated[i:j], 1.0, undo_unit_changes(number[i:j], stated[i:j], logs.get(_most(quantity[i:j]), np.ones(1)), penalty, tolerance))
-        return b[[*by, row_id, "stated", "lo_micro", "hi_micro"]].assign(base_unit=base, value=number * shift, unit_shift=shift)[[*by, row_id, *facts]]
+                    shift[i:j] = np.where(stated[i:j], 1.0, undo_unit_changes(number[i:j], stated[i:j], logs.get(kind, np.ones(1)), penalty, tolerance))
+        return told(b, base, shift)
+
+    def put_right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, long_ = None, None
+        for b in (x.iloc[k : k + window] for x in batches for k in range(0, len(x), window)):
+            # Of a long history `rest` is the last row only, to tell whether it goes on.
+            b = pd.concat([rest, b], ignore_index=True) if rest is not None else b.reset_index(drop=True)
+            first = starts(b, by)
+            if long_ is not None:
+                end = first[1] if len(first) > 1 else len(b)
+                long_.add(b.iloc[1:end])
+                if end == len(b):
+                    rest = b.iloc[-1:]
+                    continue
+                yield from long_.put_right(logs, tolerance, told)
+                long_, b, first = None, b.iloc[end:], first[1:] - end
+            if len(first) > 1:
+                yield repair(b.iloc[: first[-1]], first[:-1])
+            rest = b.iloc[first[-1] :]
+            if len(rest) > window:
+                long_ = _Spool(penalty)
+                long_.add(rest)
+                rest = rest.iloc[-1:]
+        if long_ is not None:
+            yield from long_.put_right(logs, tolerance, told)
+        elif rest is not None:
+            yield repair(rest, np.zeros(1, dtype=np.int64))
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, row_id]) + ", base_unit string, value double, unit_shift double, stated boolean, lo_micro bigint, hi_micro bigint"
-    # At most one history in `window` readings is long.
-    long_ = cut(readings.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > window))
-    many = long_.count()
-    if not many:
-        return map_groups(readings, by, [at, row_id], repair, schema)
-    marked = _beside(readings, F.broadcast(long_) if many <= 200_000 else long_, by, "left")
-    short = map_groups(marked.where("_n is null").drop("_n"), by, [at, row_id], repair, schema)
-    whole = _long_histories(marked.where("_n is not null").drop("_n"), types, by, row_id, at, logs, penalty, tolerance, window, margin)
-    return short.unionByName(whole.select(*by, row_id, *facts))
-
-
-def _most(values: np.ndarray) -> str | None:
-    """The most frequent text, ties going to the smallest; None where all are null."""
-    names, counts = np.unique([v for v in values if v is not None], return_counts=True)
-    return str(names[int(np.argmax(counts))]) if len(names) else None
-
-
-def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """`left` joined with `right` on the `by` columns, nulls being equal; of these the left's stay."""
-    other, same = right, F.lit(True)
-    for i, c in enumerate(by):
-        other, same = other.withColumnRenamed(c, f"_by{i}"), same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    return left.join(other, same, how).drop(*[f"_by{i}" for i in range(len(by))])
-
-
-def _pieces(batches: Iterator[pd.DataFrame], by: list[str], window: int) -> Iterator[pd.DataFrame]:
-    """Sorted batches regrouped into pieces of one history, of at most `window` rows each."""
-    rest = None
-    for b in batches:
+    out = readings.repartition(*by).sortWithinPartitions(*by, at, row_id, "number", "stated").mapInPandas(put_right, schema)
+    return out.withColumns({c: F.when(F.col("stated"), F.col(c)) for c in ("lo_micro", "hi_micro")})
+
+
+class _Spool:
+    """A history that is too long for memory: its readings, and the arrays of its search, on the worker's disk."""
+
+    def __init__(self, penalty: float):
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        self.folder = folder if os.path.isdir(folder) else None
+        self.rows, self.arrays, self.n = tempfile.TemporaryFile(dir=self.folder), tempfile.TemporaryFile(dir=self.folder), 0
+        self.history, self.kinds, self.bases = History(penalty), Counter(), Counter()
+
+    def add(self, b: pd.DataFrame) -> None:
         if not len(b):
-            continue
-        b = pd.concat([rest, b], ignore_index=True) if rest is not None else b.reset_index(drop=True)
-        begins = starts(b, by)
-        cuts = [c for i, j in zip(begins, [*begins[1:], len(b)]) for c in range(i, j, window)]
-        for i, j in zip(cuts, cuts[1:]):
-            yield b.iloc[i:j].reset_index(drop=True)
-        rest = b.iloc[cuts[-1] :]
-    if rest is not None and len(rest):
-        yield rest.reset_index(drop=True)
-
-
-def _joined(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, penalty: float, margin: int) -> np.ndarray:
-    """The position of the first item of each item's segment; the `margin` items at both ends stay apart."""
-    n = len(counts)
-    first, a = np.arange(n), 0
-    for b in _segment(counts, sums, squares, penalty):
-        first[a:b] = a
-        a = b
-    if margin:
-        inner = (np.arange(n) >= margin) & (np.arange(n) < n - margin)
-        first = np.where(inner, np.maximum(first, margin), np.arange(n))
-    return first
-
-
-def _long_histories(readings: DataFrame, types: dict[str, str], by: list[str], row_id: str, at: str, logs: dict, penalty: float, tolerance: float, window: int, margin: int) -> DataFrame:
-    """`unit_histories` of histories longer than a window; every task holds one piece at a time."""
-    n = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    margin = min(margin, window // 4)
-    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = TaskContext.get().partitionId() << 40
-        for b in _pieces(batches, by, window):
-            x = b["number"].to_numpy(float)
-            usable = np.isfinite(x) & (x > 0)
-            log = np.log(np.where(usable, x, 1.0))
-            first = np.full(len(b), -1, dtype=np.int64)
-            first[usable] = seen + np.flatnonzero(usable)[_joined(np.ones(usable.sum()), log[usable], log[usable] ** 2, penalty, margin)] if usable.any() else -1
-            seen += len(b)
-            yield b.drop(columns=[at]).assign(log=np.where(usable, log, np.nan), seg=first)
-
-    order = [*by, at, row_id]
-    placed = cut(readings.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(pieces, f"{keys}, `{row_id}` {types[row_id]}, quantity string, base_unit string, number double, stated boolean, lo_micro bigint, hi_micro bigint, log double, seg bigint"))
-    totals = (F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("said").alias("said"))
-    items = cut(placed.where("seg >= 0").select(*by, "seg", F.lit(1).alias("n"), F.col("log").alias("s"), (F.col("log") * F.col("log")).alias("q"), F.col("stated").cast("int").alias("said")).groupBy(*by, "seg").agg(*totals))
-    names, now = items.select("seg", F.col("seg").alias("at")), items.count()
-    item_schema = f"{keys}, seg bigint, n bigint, s double, q double, said bigint, first bigint"
-
-    def merged(parts: Iterator[pd.DataFrame], edge: int) -> Iterator[pd.DataFrame]:
-        for b in parts:
-            seg = b["seg"].to_numpy()
-            yield b.assign(first=seg[_joined(*(b[c].to_numpy(float) for c in ("n", "s", "q")), penalty, edge)])
-
-    def by_piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from merged(_pieces(batches, by, window), margin)
-
-    def by_history(b: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
-        return pd.concat(list(merged((b.iloc[i:j] for i, j in zip(first, [*first[1:], len(b)])), 0)), ignore_index=True)
-
-    while True:
-        fits = (items.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0) <= window
-        told = map_groups(items, by, ["seg"], by_history, item_schema) if fits else items.repartitionByRange(n, *by, "seg").sortWithinPartitions(*by, "seg").mapInPandas(by_piece, item_schema)
-        told = cut(told)
-        names = cut(names.join(told.select(F.col("seg").alias("at"), "first"), "at").select("seg", F.col("first").alias("at")))
-        items, before = cut(told.groupBy(*by, F.col("first").alias("seg")).agg(*totals)), now
-        now = items.count()
-        if fits or now > before // 2:
-            break
-    # From the history's first stated segment, else its longest, to both ends; a task streams the segments, one row each.
-    mid = F.col("s") / F.col("n")
-    start = items.groupBy(*by).agg(F.min(F.struct((F.col("said") == 0).alias("un"), F.when(F.col("said") > 0, F.col("seg")).otherwise(-F.col("n")).alias("o"), "seg", mid.alias("mid"))).alias("b"))
-    kind = placed.groupBy(*by).agg(F.mode("quantity", True).alias("kind"), F.mode("base_unit", True).alias("base"))
-    told = _beside(start, kind, by).select(*by, "b", "kind")
-    ways = _beside(items.withColumn("mid", mid), told, by).select(*by, "seg", "mid", "said", F.col("b.mid").alias("level"), (F.col("seg") < F.col("b.seg")).alias("back"), "kind")
-
-    def shifts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratios, before, level = {q: log_ratios(f) for q, f in logs.items()}, None, 0.0
-        for b in _pieces(batches, [*by, "back"], window):
-            key = tuple(None if pd.isna(x) else x for x in b[[*by, "back"]].iloc[0])
-            if key != before:
-                before, level = key, b["level"].iloc[0]
-            got, level = settled(b["mid"].tolist(), b["said"].tolist(), level, ratios.get(b["kind"].iloc[0], np.zeros(1)), tolerance)
-            yield pd.DataFrame({"at": b["seg"], "shift": got})
-
-    sorted_ = ways.repartition(*by, "back").withColumn("o", F.when(F.col("back"), -F.col("seg")).otherwise(F.col("seg"))).sortWithinPartitions(*by, "back", "o").drop("o")
-    shift = sorted_.mapInPandas(shifts, "at bigint, shift double").where("shift <> 1").join(names, "at").select("seg", "shift")
-    # A first segment holds one piece's readings at most, so the join back has no hot key; the histories' facts are few.
-    out = placed.join(shift, "seg", "left")
-    bases = kind.select(*by, "base")
-    factor = F.when(F.col("stated"), 1.0).otherwise(F.coalesce("shift", F.lit(1.0)))
-    told = _beside(out, F.broadcast(bases) if few_bytes(bases) else bases, by, "left")
-    return told.withColumns({"unit_shift": factor, "value": F.col("number") * factor, "base_unit": F.coalesce("base_unit", "base")})
+            return
+        pickle.dump(b, self.rows)
+        got = self.history.add(b["number"].to_numpy(float), b["stated"].to_numpy(bool))
+        self.arrays.write(got.tobytes())
+        self.n += len(got)
+        self.kinds.update(_counted(b["quantity"]))
+        self.bases.update(_counted(b["base_unit"]))
+
+    def put_right(self, logs: dict, tolerance: float, told: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with self.rows, self.arrays, tempfile.TemporaryFile(dir=self.folder) as ends, tempfile.TemporaryFile(dir=self.folder) as factors:
+            self.arrays.flush()
+            shift = np.ones(self.n)
+            if self.n > 1:
+                room = {"mode": "w+", "shape": (self.n,)}
+                shift = np.memmap(factors, dtype="f8", **room)
+                settled(np.memmap(self.arrays, dtype=[("came", "i8"), ("total", "f8"), ("said", "i8")], mode="r", shape=(self.n,)), np.memmap(ends, dtype="i8", **room), shift, logs.get(_most(self.kinds), np.ones(1)), tolerance)
+            base, at, length = _most(self.bases), 0, self.rows.tell()
+            self.rows.seek(0)
+            while self.rows.tell() < length:
+                b = pickle.load(self.rows)
+                x, stated = b["number"].to_numpy(float), b["stated"].to_numpy(bool)
+                usable, factor = np.isfinite(x) & (x > 0), np.ones(len(b))
+                factor[usable] = shift[at : at + int(usable.sum())]
+                at += int(usable.sum())
+                yield told(b, np.where(stated, b["base_unit"].to_numpy(object), base), np.where(stated, 1.0, factor))
+
+
+def _counted(values: Iterable[str | None]) -> Counter:
+    return Counter(v for v in values if v is not None)
+
+
+def _most(counts: Counter) -> str | None:
+    """The most frequent text, ties going to the smallest; None where there is none."""
+    return min(counts, key=lambda v: (-counts[v], v), default=None)

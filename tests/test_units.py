@@ -123,3 +123,26 @@ def test_weighted_items_like_values():
     size = np.array([10] * 12)
     sums, squares = x.reshape(12, 10).sum(1), (x**2).reshape(12, 10).sum(1)
     assert units._segment(size, sums, squares, 0.5) == [3, 6, 9, 12]
+
+
+@pytest.mark.parametrize("margin", [8, 64])
+def test_histories_come_out_the_same_at_any_window(spark, margin):
+    # Small real changes every few readings, some in another unit; three subjects, of which one is null and one without a unit.
+    rng = np.random.default_rng(9)
+    data, expected, factors = [], {}, np.array([1.0, 1000.0, 0.3048, 0.0254])
+    for subject, n in ((1, 900), (None, 400), (3, 300)):
+        level = np.repeat(rng.normal(4, 0.3, n // 5), 5)
+        v = np.round(np.exp(level + rng.normal(0, 0.15, n)) / np.where(np.arange(n) % 60 > 40, 0.3048, 1.0), 5)
+        said = (rng.random(n) < 0.05) & (subject != 3)
+        shift = undo_unit_changes(v, said, factors if subject != 3 else np.ones(1), 0.5, 0.08)
+        for i in range(n):
+            data.append((len(data), subject, f"{v[i]:.5f}" + (" m" if said[i] else "")))
+            expected[data[-1][0]] = 1.0 if said[i] else shift[i]
+    table = spark.createDataFrame([r for r in TABLE if r[0] == "length"], "quantity string, unit string, base_unit string, factor double, unit_offset double")
+    rows = spark.createDataFrame(data, "candidate_id bigint, subject_id bigint, raw_value string").selectExpr("*", "'f' as field", "string(null) as unit", "string(null) as quote", "timestamp_seconds(candidate_id) as at")
+    assert len(set(expected.values())) > 2
+    for window in (32, 250, 10**6):
+        got = {r.candidate_id: r for r in unit_histories(rows, table, ["subject_id", "field"], window=window, margin=margin).collect()}
+        assert len(got) == len(data)
+        assert [i for i, r in got.items() if abs(r.unit_shift - expected[i]) > 1e-6] == []
+        assert all((r.base_unit == "m") == (r.subject_id != 3) and (r.lo_micro is None) != r.stated for r in got.values())
