@@ -79,6 +79,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; else they stay until the driver's memory fills."""
+    spark.sparkContext._jvm.System.gc()
+
+
 _SCRATCH: dict[str, list[str]] = {}
 
 

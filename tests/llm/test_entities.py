@@ -102,3 +102,53 @@ def test_fusion_with_many_sources_and_copiers(spark):
     plain = sum(max(sorted(c), key=c.get) == truth[i] for i, c in votes.items())
     fused = sum(got[i] == truth[i] for i in truth)
     assert fused >= 0.93 * len(truth) and fused > plain
+
+
+def _fused(rows, rounds=5, n=20, prior=0.8, copy=0.8):
+    """The fusion of `fused_values` with every pair of the sources of every value, by loops."""
+    import math
+    from collections import defaultdict
+
+    values, pairs = defaultdict(list), defaultdict(list)
+    for i, s, v, t in sorted(rows, key=lambda r: r[3]):
+        values[i, v].append(s)
+    for x, sources in values.items():
+        for k, s in enumerate(sources):
+            for earlier in sources[:k]:
+                pairs[s, earlier].append(x)
+    a, c, p = defaultdict(lambda: prior), {}, {}
+    for _ in range(rounds):
+        strength = {s: math.log(n * a[s] / (1 - a[s])) for _, s, _, _ in rows}
+        score = {x: sum(strength[s] * (1 - max((c.get((s, e), 0) for e in sources[:k]), default=0)) for k, s in enumerate(sources)) for x, sources in values.items()}
+        for i in {i for i, _ in values}:
+            of = [x for x in values if x[0] == i]
+            total = sum(math.exp(score[x]) for x in of) + max(0, n + 1 - len(of))
+            p.update({x: math.exp(score[x]) / total for x in of})
+        given = defaultdict(list)
+        for x, sources in values.items():
+            for s in sources:
+                given[s].append(p[x])
+        a = {s: min(0.99, max(0.05, (sum(q) + 2 * prior) / (len(q) + 2))) for s, q in given.items()}
+        c = {k: copy * sum(1 - p[x] for x in of) / (len(of) + 2) for k, of in pairs.items()}
+    return {i: max((q, x[1]) for x, q in p.items() if x[0] == i) for i in {i for i, _ in values}}
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_fusion_knows_every_pair_of_sources(spark, monkeypatch, block):
+    # Seven sources lie together, each time after another one of its own; nine honest ones outvote them, on the last ten items only three speak.
+    import random
+
+    rng, rows = random.Random(4), []
+    for i in range(40):
+        ring, honest = [f"ring{k}" for k in range(7)], [f"h{k}" for k in range(9 if i < 30 else 3)]
+        rng.shuffle(ring)
+        rows += [(i, s, f"t{i}", t) for t, s in enumerate(honest)] + [(i, s, f"lie{i}", 20 + t) for t, s in enumerate([f"seed{i}", *ring])]
+        rows += [(100 + 10 * i + k, f"ring{k}", "t", 0) for k in range(7)]
+    rows += [(1000 + i, f"{s}{k}", f"{s}{i}", k) for i in range(20) for s, n in (("h", 2), ("ring", 2)) for k in range(i % n + 1)]
+    monkeypatch.setattr(survivors, "BLOCK", block, raising=False)
+    df = spark.createDataFrame(rows, "item bigint, src string, val string, at bigint")
+    got = {r.item: (r.probability, r.value) for r in survivors.fused_values(df, ["item"], "src", "val", "at").collect()}
+    expected = _fused(rows)
+    assert all(expected[i][1] == f"t{i}" for i in range(40))
+    assert {i: v for i, (_, v) in got.items()} == {i: v for i, (_, v) in expected.items()}
+    assert max(abs(got[i][0] - expected[i][0]) for i in expected) < 2e-6
